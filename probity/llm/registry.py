@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from probity.llm import quality, sharding
+from probity.llm import decontaminate, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
+        "op5_pfair_mix": mixing.op5_pfair_mix,
         "op6_line_quality": quality.op6_line_quality,
+        "op8_decontamination": decontaminate.op8_decontamination,
     }
 
 

@@ -6,6 +6,8 @@ Null text has no words. "White" is the ASCII set [\\x20\\x09-\\x0D] everywhere.
 from __future__ import annotations
 
 import string
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,22 +76,18 @@ def unused(frame: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialise(frame: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage all executors share (``spark.checkpoint.dir``)."""
-    spark = frame.sparkSession
-    checkpoint_dir(spark)
-    return frame.checkpoint(eager=True)
+def stored(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes the rows as Parquet to the folder all executors share and reads
+    them back. Lost executors cost no recomputation of what came before."""
+    path = f"{checkpoint_dir(frame.sparkSession)}/probity-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def checkpoint_dir(spark) -> str:
     """The session's shared folder; one of our own only where none is set, as in tests."""
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
         folder = tempfile.mkdtemp(prefix="probity-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
