@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, mixing, quality, sharding
+from probity.llm import decontaminate, lines, mixing, quality, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op5_pfair_mix": mixing.op5_pfair_mix,
         "op6_line_quality": quality.op6_line_quality,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_decontamination": decontaminate.op8_decontamination,
     }
 
