@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, lines, mixing, quality, sharding
+from probity.llm import decontaminate, lines, mixing, neardup, quality, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_line_quality": quality.op6_line_quality,
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_odd_sketch_neardup": neardup.op9_odd_sketch_neardup,
     }
 
 
