@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import decontaminate, lines, mixing, neardup, quality, sharding, toxicity
+from probity.llm import decontaminate, lines, mixing, neardup, ngrams, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_line_dedup": lines.op7_line_dedup,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_odd_sketch_neardup": neardup.op9_odd_sketch_neardup,
+        "op10_trie_lm": ngrams.op10_trie_lm,
     }
 
 
