@@ -129,10 +129,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), INPUT), np.float32)
     for row, b in zip(x, blocks, strict=True):
         row[list(path_columns(b.path))] = 1
-        head = b.text[:4096].lower().split()  # words are a hint only; the whole block is kept or not
-        for w in head[:64]:
-            row[PATH_DIM + _bucket(w, WORD_DIM)] += 1 / min(64, len(head))
-        row[-SHAPE_DIM:] = (np.log1p(len(b.text)) / 8, min(1, b.linked / len(b.text)), b.text.count(". ") > 1, b.text[-1] in ".!?…\"'”", len(b.path) / 10, len(head) < 4)
+        words = b.text.lower().split()
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_bucket(w, WORD_DIM) for w in words], minlength=WORD_DIM) / len(words)
+        row[-SHAPE_DIM:] = (np.log1p(len(b.text)) / 8, min(1, b.linked / len(b.text)), b.text.count(". ") > 1, b.text[-1] in ".!?…\"'”", len(b.path) / 10, len(words) < 4)
     return x
 
 
