@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from probity.llm import blocks, decontaminate, lines, mixing, neardup, ngrams, quality, sharding, toxicity
+from probity.llm import blocks, decontaminate, lines, mixing, neardup, ngrams, phrases, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_html_blocks": blocks.op1_html_blocks,
         "op2_toxicity_fm": toxicity.op2_toxicity_fm,
+        "op3_phrase_automata": phrases.op3_phrase_automata,
         "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op5_pfair_mix": mixing.op5_pfair_mix,
         "op6_line_quality": quality.op6_line_quality,
