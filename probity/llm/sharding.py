@@ -88,6 +88,22 @@ def number_slots(frame: DataFrame, group: str, chunk_key: Column, order: Sequenc
     return joined.withColumn(name, (F.col(n) - 1 + F.col(off)).cast("long")).drop(c, n, off, f"_{off}_group", f"_{off}_chunk")
 
 
+def shard_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """doc_id, source, size, shard and slot of each row; a shard's slots follow the rows' order.
+
+    The order is that of file names and of rows within a file, for a frame read from files; rows
+    of a shard are numbered file by file, so that no task holds a whole shard.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), "source", (T.utf8_bytes(F.col(text)) + 16).alias("size"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = rendezvous_shard(rows, "doc_id", [1.0] * shards)
+    counts = placed.groupBy("shard", "file").agg(F.count("*").alias("n"))  # shards x files rows at most
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("shard", "file").orderBy("row")) - 1
+    out = placed.withColumn("slot", within).join(offsets, ["shard", "file"])
+    return out.select("doc_id", "source", "size", "shard", (F.col("slot") + F.col("offset")).cast("long").alias("slot"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 40 equal shards by doc_id; law ``key``."""
     docs = T.read(spark, sf_dir, "documents")
