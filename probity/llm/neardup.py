@@ -29,7 +29,7 @@ SKETCH_BITS = 512
 SKETCH_SAMPLES = 128
 #: Sketches may overrate the distance of two sets; pairs are dropped only beyond this margin.
 SKETCH_SLACK = 6.0
-FIRST_PIVOTS = 2
+FIRST_PIVOTS = 4
 M64 = (1 << 64) - 1
 
 
@@ -145,69 +145,57 @@ def spread_labels(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, for all nodes of ``edges`` (a, b).
 
     Alternating star contraction: every node links its larger, then its smaller neighbours to its
-    least one, until nothing changes; the rounds grow with the logarithm of the graph.
+    least one, until each component is a star; the rounds grow with the logarithm of the graph.
     """
-    count = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = T.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    mark = count(now)
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     while True:
         # large star: every neighbour above a node moves to the least of the node and its neighbours
-        nb = both(now)
-        least = nb.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = nb.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = T.stored(large.distinct())
+        ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = ways.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its neighbours below move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         now = T.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        if (after := count(now)) == mark:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty():
             break
-        mark = after
-    labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """(node, label) for every node with at least one link. ``nodes``: node, n, sketch, bands and the
-    key of one document with that set; ``docs``: doc, digest, text."""
+def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame | None:
+    """(node, label) for every node with at least one link; None if there is none. ``nodes``: node, n,
+    sketch, bands and the key of one document with that set; ``docs``: doc, digest, text."""
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-    members = T.stored(in_band.join(shared, "band"))
-    involved = members.select("node").distinct()
-    slim = T.stored(nodes.join(involved, "node").select("node", "n", "sketch", "doc", "digest"))
-    on_doc = docs["doc"].eqNullSafe(slim["doc"]) & (docs["digest"] == slim["digest"])
-    texts = docs.join(slim, on_doc).select("node", docs["text"])
+    left = T.stored(in_band.join(shared, "band"))
+    wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
+    on_doc = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["digest"] == wanted["digest"])
+    texts = docs.join(wanted, on_doc).select("node", docs["text"])
     sets = T.stored(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node binary, shingles array<long>"))
-    limit, edges, classes, tested, pivots = sketch_limit(percent), None, None, None, FIRST_PIVOTS
-    sketch = slim.select("node", "n", "sketch")
+    limit, edges, classes, pivots = sketch_limit(percent), None, None, FIRST_PIVOTS
+    a_side = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    b_side = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    full_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    full_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     while True:
-        open_ = members if classes is None else members.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if classes is None:
-            open_ = open_.withColumn("label", F.col("node"))
-        labelled = T.stored(open_)
-        untested = labelled if tested is None else labelled.join(tested, ["band", "node"], "left_anti")
-        pending = untested.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-        chosen = untested.join(pending, "band").groupBy("band", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min(F.struct("node", "label")).alias("p"))
-        chosen = T.stored(chosen.select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")))
+        labelled = left.withColumn("label", F.col("node")) if classes is None else left.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pending = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
+        open_ = T.stored(labelled.join(pending, "band")) if classes is not None else labelled
+        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
+        chosen = T.stored(open_.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")))
         if chosen.isEmpty():
             break
-        pairs = labelled.join(chosen, "band").filter("label != pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        left = sketch.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-        right = sketch.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-        apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        near = pairs.join(left, "a").join(right, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= limit))
-        near = T.stored(near.select("a", "b", "n_a", "n_b"))
-        full_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-        full_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-        both = near.join(full_a, "a").join(full_b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-        links = both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-        edges = T.stored(links if edges is None else edges.unionByName(links))
-        classes = T.stored(spread_labels(edges))
-        done = chosen.select("band", F.col("pivot").alias("node"))
-        tested = T.stored(done if tested is None else tested.unionByName(done))
+        pairs = open_.join(chosen, "band").filter("label != pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        near = pairs.join(a_side, "a").join(b_side, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= limit))
+        both = near.select("a", "b", "n_a", "n_b").join(full_a, "a").join(full_b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        links = T.stored(both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
+        edges = links if edges is None else edges.unionByName(links)
+        classes = spread_labels(edges)
+        left = open_.select("band", "node").join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti")
         pivots *= 8
-    return classes if classes is not None else members.select("node", F.col("node").alias("label")).limit(0)
+    return classes
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -224,7 +212,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     nodes = T.stored(all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     nodes = nodes.select("node", "least", "of.doc", "of.digest", "n", "sketch", "bands")
     classes = link_classes(nodes, rows, text, percent)
-    labelled = nodes.select("node", "least").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = nodes.select("node", "least").withColumn("label", F.col("node"))
+    if classes is not None:
+        labelled = labelled.drop("label").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     by_node = labelled.join(heads, "label").select("node", "component_id")
     out = all_.select("doc", "digest", "n", "node").join(by_node, "node", "left")
