@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import text as T
@@ -27,6 +27,9 @@ SHINGLE = 5
 BANDS, ROWS = 32, 8
 SKETCH_BITS = 512
 SKETCH_SAMPLES = 128
+#: Bits of the second parity bitmap, over the whole set. Two bitmaps never differ in more bits than
+#: their sets in members, which makes it an exact bound.
+SET_BITS = 1024
 #: Sketches may overrate the distance of two sets; pairs are dropped only beyond this margin.
 SKETCH_SLACK = 6.0
 FIRST_PIVOTS = 4
@@ -85,10 +88,13 @@ def min_hashes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.nda
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> bytes:
+def parity(items: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount((_mixed(items) % np.uint64(bits)).astype(int), minlength=bits) & 1).astype(np.uint8)).view("i8")
+
+
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmap of the (position, sample) pairs."""
-    at = _mixed(samples.astype(np.uint64) | (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    return np.packbits(np.bincount(at.astype(int), minlength=SKETCH_BITS) & 1).tobytes()
+    return parity(samples.astype(np.uint64) | (np.arange(len(samples), dtype=np.uint64) << np.uint64(32)), SKETCH_BITS)
 
 
 def sketch_limit(percent: int) -> int:
@@ -101,31 +107,32 @@ def sketch_limit(percent: int) -> int:
     return int(mean + SKETCH_SLACK * (mean * (1 - mean / m)) ** 0.5)
 
 
-SKETCHES = "doc long, digest long, n int, node binary, sketch array<long>, bands array<long>"
+SKETCHES = "doc long, digest long, n int, node binary, sketch array<long>, whole array<long>, bands array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, (mul, add) = _Words(), _seeds(BANDS * ROWS)
     step = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
-        n, nodes, sketches, bands = [], [], [], []
+        n, nodes, sketches, wholes, bands = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             s = shingle_set(text, known)
             n.append(len(s))
             nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             if len(s):
                 m = min_hashes(s, mul, add)
-                sketches.append(np.frombuffer(odd_sketch(m[:SKETCH_SAMPLES]), "i8"))
+                sketches.append(odd_sketch(m[:SKETCH_SAMPLES]))
+                wholes.append(parity(s, SET_BITS))
                 key = step
                 for r in range(ROWS):
                     key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[r::ROWS].astype(np.uint64))
                 bands.append(key.view("i8"))
             else:
-                sketches.append([])
-                bands.append([])
+                for x in (sketches, wholes, bands):
+                    x.append([])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc", "digest", "n", "node", "sketch", "bands"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc", "digest", "n", "node", "sketch", "whole", "bands"],
         )
 
 
@@ -166,38 +173,46 @@ def spread_labels(edges: DataFrame) -> DataFrame:
 def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame | None:
     """(node, label) for every node with at least one link; None if there is none. ``nodes``: node, n,
     sketch, bands and the key of one document with that set; ``docs``: doc, digest, text."""
-    in_band = nodes.select("node", F.explode("bands").alias("band"))
+    in_band = nodes.select("node", "n", "sketch", "whole", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
     left = T.stored(in_band.join(shared, "band"))
     wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
     on_doc = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["digest"] == wanted["digest"])
     texts = docs.join(wanted, on_doc).select("node", docs["text"])
     sets = T.stored(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node binary, shingles array<long>"))
-    limit, edges, classes, pivots = sketch_limit(percent), None, None, FIRST_PIVOTS
-    a_side = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b_side = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    edges, classes, pivots = None, None, FIRST_PIVOTS
     full_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     full_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     while True:
         labelled = left.withColumn("label", F.col("node")) if classes is None else left.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pending = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-        open_ = T.stored(labelled.join(pending, "band")) if classes is not None else labelled
+        if classes is not None:
+            pending = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
+            labelled = T.stored(labelled.join(pending, "band"))
         part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = T.stored(open_.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("p")).select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label")))
+        least = F.min(F.struct("node", "label", "n", "sketch", "whole"))
+        chosen = T.stored(labelled.groupBy("band", part.alias("part")).agg(least.alias("pivot")).select("band", "pivot"))
         if chosen.isEmpty():
             break
-        pairs = open_.join(chosen, "band").filter("label != pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        near = pairs.join(a_side, "a").join(b_side, "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (apart <= limit))
-        both = near.select("a", "b", "n_a", "n_b").join(full_a, "a").join(full_b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+        met = labelled.join(chosen, "band").filter((F.col("label") != F.col("pivot.label")) & may_link(percent))
+        pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        both = pairs.join(full_a, "a").join(full_b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
         links = T.stored(both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
         edges = links if edges is None else edges.unionByName(links)
         classes = spread_labels(edges)
-        left = open_.select("band", "node").join(chosen.select("band", F.col("pivot").alias("node")), ["band", "node"], "left_anti")
+        left = labelled.drop("label").join(chosen.select("band", F.col("pivot.node").alias("node")), ["band", "node"], "left_anti")
         pivots *= 8
     return classes
 
 
+def may_link(percent: int) -> Column:
+    """Whether a row (n, sketch, whole) and its pivot can reach ``percent``: by size, by the estimate
+    of the odd sketches, and by the exact bound that the sets' bitmaps give."""
+    apart = lambda c: F.aggregate(F.zip_with(c, f"pivot.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    n, m = F.col("n"), F.col("pivot.n")
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & ((100 + percent) * apart("whole") <= (100 - percent) * (n + m)) & (apart("sketch") <= sketch_limit(percent))
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(doc, digest, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -209,8 +224,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
     all_ = T.stored(rows.select("doc", "digest", "text").mapInArrow(_sketched, SKETCHES))
     some = F.struct("doc", "digest")
-    nodes = T.stored(all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    nodes = nodes.select("node", "least", "of.doc", "of.digest", "n", "sketch", "bands")
+    nodes = T.stored(all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("bands").alias("bands")))
+    nodes = nodes.select("node", "least", "of.doc", "of.digest", "n", "sketch", "whole", "bands")
     classes = link_classes(nodes, rows, text, percent)
     labelled = nodes.select("node", "least").withColumn("label", F.col("node"))
     if classes is not None:
