@@ -54,31 +54,14 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def select_terms(docs: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The buckets that tell the labels apart best, by signed-root chi-square; rare ones are left out."""
-    size, pos = 1 << HASH_BITS, max(1, int(y.sum()))
-    neg = max(1, len(y) - pos)
-    n1 = np.zeros(size)
-    n0 = np.zeros(size)
-    for d, label in zip(docs, y, strict=True):
-        (n1 if label else n0)[d] += 1
-    share = (n1 + n0) / len(y)
-    spread = np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-    z = np.abs(n1 / pos - n0 / neg) / spread
-    z[(n1 + n0 < 3) | (z < 2)] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 0])
-
-
-def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 200, factors: int = FACTORS, rate: float = 0.05, l2: float = 2e-4) -> FactorizationMachine:
-    """Full-batch Adam on the logistic loss. Without both labels the score is their rate (0 if none)."""
+def fit(at: list[np.ndarray], y: np.ndarray, terms: np.ndarray, steps: int = 200, factors: int = FACTORS, rate: float = 0.05, l2: float = 2e-4) -> FactorizationMachine:
+    """Full-batch Adam on the logistic loss. ``at``: per text, the places in ``terms`` of those it
+    holds. Without both labels the score is their rate (0 if there are none)."""
     y = np.asarray(y, float)
     none = np.empty(0, int), np.empty(0), np.empty((0, factors))
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(40.0 if len(y) and y[0] else -40.0, *none)
-    terms = select_terms(docs, y)
-    at = [np.flatnonzero(np.isin(terms, d, assume_unique=True)) for d in docs]
-    row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+    row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at).astype(int)
     n, k = len(y), len(terms)
     weight = np.where(y > 0, np.sqrt((1 - y.mean()) / y.mean()), 1.0) / n  # the rarer label counts more
     rng = np.random.default_rng(5)
@@ -99,10 +82,40 @@ def fit(docs: list[np.ndarray], y: np.ndarray, steps: int = 200, factors: int =
     return FactorizationMachine(float(p["b"][0]), terms, p["w"], p["v"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either label that hold each bucket; bucket -1 counts the texts."""
+    n = np.zeros((2, 1 << HASH_BITS), np.int64)
+    size = [0, 0]
     for batch in batches:
-        out = [np.unique(np.array([h for w in distinct_words(t) for h in term_hashes(w)], "i4")) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "label", "terms"])
+        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            buckets = {h for w in distinct_words(text) for h in term_hashes(w)}
+            n[int(label > 0)][np.fromiter(buckets, int, len(buckets))] += 1
+            size[int(label > 0)] += 1
+    some = np.flatnonzero(n.sum(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[1, some], size[1])), pa.array(np.append(n[0, some], size[0]))], names=["term", "pos", "neg"])
+
+
+def select_terms(counts: DataFrame, most: int = TERMS) -> np.ndarray:
+    """The buckets that tell the labels apart best, by signed-root chi-square; rare ones are left out."""
+    all_ = counts.filter("term = -1").first()
+    if all_ is None or not all_["pos"] or not all_["neg"]:
+        return np.empty(0, int)
+    p, n = float(all_["pos"]), float(all_["neg"])
+    share = (F.col("pos") + F.col("neg")) / (p + n)
+    z = F.abs(F.col("pos") / p - F.col("neg") / n) / F.sqrt(share * (1 - share) * (1 / p + 1 / n) + 1e-12)
+    best = counts.filter((F.col("term") >= 0) & (F.col("pos") + F.col("neg") >= 3)).withColumn("z", z).filter("z >= 2")
+    return np.sort(np.array([r["term"] for r in best.orderBy(F.desc("z"), "term").limit(most).collect()], int))
+
+
+def _places(terms: np.ndarray):
+    place = {int(t): i for i, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [sorted({place[h] for w in distinct_words(t) for h in term_hashes(w) if h in place}) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "label", "at"])
+
+    return run
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> FactorizationMachine:
@@ -114,10 +127,13 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, usable: Column, key: str =
     known = known.filter("ok").groupBy("key").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.xxhash64("key"), "key").limit(most)  # the bound of what is broadcast and collected
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("key", "label", "text")
-    found = rows.mapInArrow(_features, "key long, label int, terms array<int>").toPandas()
-    found["first"] = [tuple(t[:3]) for t in found["terms"]]
-    found = found.sort_values(["key", "first"], kind="stable")
-    return fit([np.asarray(t, int) for t in found["terms"]], found["label"].to_numpy() > 0)
+    rows = T.stored(rows)
+    counts = T.stored(rows.mapInArrow(_term_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    terms = select_terms(counts)
+    found = rows.mapInArrow(_places(terms), "key long, label int, at array<int>").toPandas()
+    found["order"] = [tuple(t) for t in found["at"]]
+    found = found.sort_values(["key", "order"], kind="stable")
+    return fit([np.asarray(t, int) for t in found["at"]], found["label"].to_numpy() > 0, terms)
 
 
 def _scorer(model: FactorizationMachine):
