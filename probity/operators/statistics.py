@@ -113,7 +113,7 @@ def terminal_digits(frame: DataFrame, group: str, value: str) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def test_p_value(kind: pd.Series, statistic: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    """Two-tailed t and r, upper F and chi-square; NaN where the statistic allows none."""
+    """Two-tailed t and r, upper F and chi-square; null where the statistic allows none."""
     s, a, b = statistic.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)
     out = np.full(len(s), np.nan)
     k = kind.to_numpy()
@@ -131,7 +131,7 @@ def check_p_values(tests: DataFrame) -> DataFrame:
     p = tests.withColumn("computed_p", test_p_value("test_type", "statistic", "df1", "df2"))
     changed = (F.col("reported_p") < 0.05) != (F.col("computed_p") < 0.05)
     ok = (F.abs(F.col("reported_p") - F.col("computed_p")) <= 0.01) & ~changed
-    return p.withColumn("significance_changed", changed & ~F.isnan("computed_p")).withColumn("consistent", F.isnan("computed_p") | ok)
+    return p.withColumns({"significance_changed": F.coalesce(changed, F.lit(False)), "consistent": F.col("computed_p").isNull() | ok})
 
 
 def duplicate_cells(cells: DataFrame, group: str, cell: str, pos: str) -> DataFrame:
