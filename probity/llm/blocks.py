@@ -359,8 +359,8 @@ def _labelled(model: BiLSTM, extracted: bool):
 
 def _run(pages: DataFrame, carry: list[str], html_: str, name: str, kind: str, extracted: bool) -> DataFrame:
     rows = pages.select(*carry, F.col(html_).alias("_page_html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(_labelled(trained(), extracted), f"{schema}, made {kind}").withColumnRenamed("made", name)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(_labelled(trained(), extracted), f"{schema}made {kind}").withColumnRenamed("made", name)
 
 
 def label_blocks(pages: DataFrame, carry: list[str], html_: str = "html") -> DataFrame:

@@ -388,9 +388,9 @@ def score(docs: DataFrame, model: dict, carry: list[str], text: str = "text") ->
 
     rows = docs.select(*carry, F.col(text).alias("_scored_text"))
     added = "n_tokens long, n_known long, base_score double, score double"
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
     full = pa.schema([*to_arrow_schema(rows.schema)][:-1] + [pa.field(x.split()[0], {"long": pa.int64(), "double": pa.float64()}[x.split()[1]]) for x in added.split(", ")])
-    return rows.mapInArrow(_score(model["folder"], model["bits"], model["bases"], model["tokens"], full), f"{kind}, {added}")
+    return rows.mapInArrow(_score(model["folder"], model["bits"], model["bases"], model["tokens"], full), f"{kind}{added}")
 
 
 def held_out(key: Column) -> Column:

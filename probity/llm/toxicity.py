@@ -161,8 +161,8 @@ def _scorer(model: FactorizationMachine):
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, carry: list[str], text: str = "text") -> DataFrame:
     """The ``carry`` columns and ``score`` (0 to 1) for every row; null and empty texts get the bias alone."""
     rows = docs.select(*carry, F.col(text).alias("_scored_text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return rows.mapInArrow(_scorer(model), f"{kind}, score double")
+    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
+    return rows.mapInArrow(_scorer(model), f"{kind}score double")
 
 
 def held_out(key: Column, parts: int = 5, part: int = 0) -> Column:
