@@ -34,8 +34,9 @@ from probity.llm.neardup import _mixed, _Words
 WINDOW = 35
 PHRASE = 8
 SPAN = WINDOW - PHRASE + 1
-#: Occurrences from which on an anchor is spread by windows, and contexts a shard should hold.
-HOT = 4_000
+#: Occurrences from which on an anchor is spread by windows (about 100 MB of a task's memory below
+#: it), and contexts a shard should hold.
+HOT = 20_000
 SHARD_CONTEXTS = 12_000
 U64 = np.uint64
 
