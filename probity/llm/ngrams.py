@@ -16,6 +16,7 @@ P(w) = (c(w) + 1) / (N + V + 1). It sums to 1 over the vocabulary and one unknow
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import os
 import tempfile
@@ -212,7 +213,8 @@ class Words:
 
     def __init__(self, folder: str, bits: int, bases: list[int]) -> None:
         self.folder, self.bits, self.bases, self.maps = folder, bits, bases, {}
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}  # places in the two arrays
+        self.ids = self.counts = np.empty(0, np.int64)
 
     def shard(self, s: int) -> tuple:
         if s not in self.maps:
@@ -241,14 +243,16 @@ class Words:
         """Ids and counts of all tokens, each text followed by the end."""
         if len(self.known) > 300_000:
             self.known.clear()
+            self.ids = self.counts = np.empty(0, np.int64)
         known = self.known
-        fresh = list({w for d in docs for w in d if w not in known})
-        if fresh or b" " not in known:
-            fresh.append(b" ")
-            for w, i, c in zip(fresh, *(x.tolist() for x in self.find(np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], U64))), strict=True):
-                known[w] = (i, c)
-        pairs = np.array([known[w] for d in docs for w in (*d, b" ")], np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        fresh = list(set(itertools.chain.from_iterable(docs)).union((b" ",)).difference(known))
+        if fresh:
+            ids, counts = self.find(np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], U64))
+            known.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        tokens = itertools.chain.from_iterable(itertools.chain(d, (b" ",)) for d in docs)
+        at = np.fromiter(map(known.__getitem__, tokens), np.int64, sum(map(len, docs)) + len(docs))
+        return self.ids[at], self.counts[at]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[list[bytes]], list]]:
