@@ -25,8 +25,9 @@ MAX_LOCAL_WINDOWS = 200_000
 
 def scan_words(text: Column) -> Column:
     """Words for the scan. ``lower`` folds more letters than A-Z and so finds all hits and perhaps
-    others, which verification removes; word borders are the same."""
-    return T.split_words(F.lower(text), NOT_WORD)
+    others, which verification removes; word borders are the same. The final sigma, whose choice
+    depends on what follows the word, becomes the plain one."""
+    return T.split_words(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), NOT_WORD)
 
 
 def exact_words(text: Column) -> Column:

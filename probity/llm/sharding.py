@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +89,24 @@ def number_slots(frame: DataFrame, group: str, chunk_key: Column, order: Sequenc
     return joined.withColumn(name, (F.col(n) - 1 + F.col(off)).cast("long")).drop(c, n, off, f"_{off}_group", f"_{off}_chunk")
 
 
+def _from_files(docs: DataFrame) -> bool:
+    try:
+        return bool(docs.select("_metadata.file_name", "_metadata.row_index").schema)
+    except AnalysisException:
+        return False
+
+
 def shard_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """doc_id, source, size, shard and slot of each row; a shard's slots follow the rows' order.
 
-    The order is that of file names and of rows within a file, for a frame read from files; rows
-    of a shard are numbered file by file, so that no task holds a whole shard.
+    The order is that of file names and of rows within a file, for a frame read from files (any
+    other frame is numbered by key); rows of a shard are numbered file by file, so that no task
+    holds a whole shard.
     """
+    if not _from_files(docs):
+        rows = docs.select(F.col(key).alias("doc_id"), "source", (T.utf8_bytes(F.col(text)) + 16).alias("size"))
+        placed = rendezvous_shard(rows, "doc_id", [1.0] * shards)
+        return number_slots(placed, "shard", F.xxhash64("doc_id"), [F.col("doc_id"), F.col("size")]).select("doc_id", "source", "size", "shard", "slot")
     rows = docs.select(F.col(key).alias("doc_id"), "source", (T.utf8_bytes(F.col(text)) + 16).alias("size"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     placed = rendezvous_shard(rows, "doc_id", [1.0] * shards)
     counts = placed.groupBy("shard", "file").agg(F.count("*").alias("n"))  # shards x files rows at most
