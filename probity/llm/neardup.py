@@ -173,7 +173,8 @@ def spread_labels(edges: DataFrame) -> DataFrame:
 def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame | None:
     """(node, label) for every node with at least one link; None if there is none. ``nodes``: node, n,
     sketch, bands and the key of one document with that set; ``docs``: doc, digest, text."""
-    in_band = nodes.select("node", "n", "sketch", "whole", F.explode("bands").alias("band"))
+    in_band = nodes.select("node", F.explode("bands").alias("band"))
+    bitmaps = nodes.select("node", "n", "sketch", "whole")  # joined to the rows of open buckets only
     shared = in_band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
     left = T.stored(in_band.join(shared, "band"))
     wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
@@ -189,18 +190,18 @@ def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) ->
             pending = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
             labelled = T.stored(labelled.join(pending, "band"))
         part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        least = F.min(F.struct("node", "label", "n", "sketch", "whole"))
-        chosen = T.stored(labelled.groupBy("band", part.alias("part")).agg(least.alias("pivot")).select("band", "pivot"))
+        chosen = labelled.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("p")).select("band", "p.node", "p.label")
+        chosen = T.stored(chosen.join(bitmaps, "node").select("band", F.struct("node", "label", "n", "sketch", "whole").alias("pivot")))
         if chosen.isEmpty():
             break
-        met = labelled.join(chosen, "band").filter((F.col("label") != F.col("pivot.label")) & may_link(percent))
+        met = labelled.join(bitmaps, "node").join(chosen, "band").filter((F.col("label") != F.col("pivot.label")) & may_link(percent))
         pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         both = pairs.join(full_a, "a").join(full_b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
         links = T.stored(both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
         edges = links if edges is None else edges.unionByName(links)
         classes = spread_labels(edges)
         left = labelled.drop("label").join(chosen.select("band", F.col("pivot.node").alias("node")), ["band", "node"], "left_anti")
-        pivots *= 8
+        pivots *= 32
     return classes
 
 
