@@ -23,7 +23,7 @@ VIEWS = {
         CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE concat('fig', CAST(l_linenumber % 3 AS varchar(9))) END AS figure_id,
         {_case("l_partkey % 12", METHODS)} AS method, {_case("l_suppkey % 4", SEVERITIES)} AS severity,
         CAST(CAST(l_quantity AS int) % 50 AS double) / CAST(50 AS double) AS confidence FROM {{lineitem}}""",
-    "v_links": "SELECT l_partkey AS author_id, l_orderkey AS paper_id FROM {lineitem} WHERE l_orderkey % 50 = 0",
+    "v_links": "SELECT l_partkey AS author_id, l_orderkey AS paper_id FROM {lineitem}",
     "v_authors": "SELECT l_partkey AS author_id, count(*) AS total_papers, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS flagged_papers, sum(CASE WHEN l_discount >= CAST(0.09 AS double) THEN 1 ELSE 0 END) AS retraction_count FROM {lineitem} GROUP BY l_partkey",
     "v_timeline": "SELECT o_custkey AS author_id, o_orderkey AS paper_id, o_orderdate AS ts FROM {orders}",
     "v_values": "SELECT l_suppkey AS group_id, l_extendedprice AS value FROM {lineitem}",
