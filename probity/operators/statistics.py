@@ -24,26 +24,47 @@ def grim_consistent(mean: Column, n: Column, decimals: int = 2) -> Column:
     return (n < 2) | (F.abs(product - F.rint(product)) <= 0.5 / 10**decimals)
 
 
-@lru_cache(maxsize=50_000)
-def achievable(n: int, total: int) -> frozenset[int]:
-    """Sums of squares that n non-negative integers with a given total can have.
+@lru_cache(maxsize=128)
+def square_masks(n: int, most: int, top: int) -> list[int]:
+    """For each total up to ``top``, the sums of squares of n integers in [0, most], as a bit mask.
 
-    Sets of sums are kept as bit masks, so that adding an item is a shift.
+    Adding an item is a shift.
     """
-    if total < 0:
-        return frozenset()
-    table = [1] + [0] * total
+    table = [1] + [0] * top
     for _ in range(n):
-        nxt = [0] * (total + 1)
+        nxt = [0] * (top + 1)
         for t, squares in enumerate(table):
             if squares:
-                for v in range(total - t + 1):
+                for v in range(min(most, top - t) + 1):
                     nxt[t + v] |= squares << (v * v)
         table = nxt
-    bits = bin(table[total])[:1:-1]
+    return table
+
+
+def _squares(n: int, total: int) -> int:
+    """The mask of n non-negative integers with a total; totals share a table by steps of 32."""
+    if total < 0:
+        return 0
+    top = -(-total // 32) * 32
+    return square_masks(n, top, top)[total]
+
+
+def achievable(n: int, total: int) -> frozenset[int]:
+    """Sums of squares that n non-negative integers with a given total can have."""
+    bits = bin(_squares(n, total))[:1:-1]
     return frozenset(i for i, b in enumerate(bits) if b == "1")
 
 
+def _has_sd(mask: int, total: int, n: int, sd: float, tol: float) -> bool:
+    """Whether a sum of squares in the mask has this SD; only sums near the SD are looked at."""
+    if not 0 <= sd + tol < math.inf:
+        return False
+    low = math.floor(max(sd - tol, 0) ** 2 * (n - 1) + total**2 / n) - 1
+    high = math.ceil((sd + tol) ** 2 * (n - 1) + total**2 / n) + 1
+    near = range(max(low, 0), min(high + 1, mask.bit_length()))
+    return any(mask >> s & 1 and abs(math.sqrt(max((s - total**2 / n) / (n - 1), 0)) - sd) <= tol for s in near)
+
+
 def grimmer(mean: float, sd: float, n: int, decimals: int = 2) -> bool:
     """Whether integers exist with this mean, SD and n. Over 20 items, bounds of the SD decide."""
     if n is None or n < 3:
@@ -56,7 +77,7 @@ def grimmer(mean: float, sd: float, n: int, decimals: int = 2) -> bool:
         low = math.sqrt(max((ss - total**2 / n) / (n - 1), 0))
         high = math.sqrt(max((total**2 - total**2 / n) / (n - 1), 0))
         return low - tol <= sd <= high + tol
-    return any(abs(math.sqrt(max((s - total**2 / n) / (n - 1), 0)) - sd) <= tol for s in achievable(n, total))
+    return _has_sd(_squares(n, total), total, n, sd, tol)
 
 
 @F.pandas_udf(BooleanType())
@@ -176,8 +197,8 @@ def variance_ratio(pairs: DataFrame, group: str, sd: str = "sd", n: str = "n") -
 def sprite(mean: float, sd: float, n: int, low: int = 1, high: int = 7, attempts: int = 1000, seed: int = 42, tol: float = 0.005) -> bool:
     """Whether a sample of integers in [low, high] with this mean, SD and n can be found.
 
-    Exact: with a fixed total, the sums of squares that samples reach are searched by items per
-    value, so that no feasible SD is missed (a random search can miss some).
+    Exact: all sums of squares that samples with this total reach are known, so that no feasible
+    SD is missed (a random search can miss some).
     """
     if n < 2:
         return True
@@ -187,15 +208,7 @@ def sprite(mean: float, sd: float, n: int, low: int = 1, high: int = 7, attempts
     if not low * n <= total <= high * n or abs(total / n - mean) > tol:
         return False
     shift = total - low * n  # values counted from low
-    reach = {(0, 0): {0}}
-    for v in range(1, high - low + 1):
-        nxt: dict[tuple[int, int], set[int]] = {}
-        for (used, summed), squares in reach.items():
-            for k in range(0, min(n - used, (shift - summed) // v) + 1):
-                nxt.setdefault((used + k, summed + k * v), set()).update(s + k * v * v for s in squares)
-        reach = nxt
-    squares = set().union(*[s for (used, summed), s in reach.items() if summed == shift and used <= n])
-    return any(abs(math.sqrt(max((s - shift**2 / n) / (n - 1), 0)) - sd) <= tol for s in squares)
+    return _has_sd(square_masks(n, high - low, (high - low) * n)[shift], shift, n, sd, tol)
 
 
 @F.pandas_udf(BooleanType())

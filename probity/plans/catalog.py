@@ -92,9 +92,9 @@ def queries() -> dict:
         "compression_discount": lambda s, d: six(evidence.compression_discount(findings(s, d).withColumn("pdf", F.col("figure_id").isNotNull()), "pdf").groupBy("method").agg(F.avg("confidence").alias("confidence")), "confidence"),
         "methods_summary": lambda s, d: evidence.severity_summary(findings(s, d)),
         "grim": lambda s, d: mean(s, d).select("id", statistics.grim_consistent(F.col("mean"), F.col("n")).alias("consistent")),
-        "grimmer": lambda s, d: mean(s, d).filter("n <= 12 and mean <= 4").select("id", statistics.grimmer_consistent("mean", "sd", "n").alias("consistent")),
+        "grimmer": lambda s, d: mean(s, d).select("id", statistics.grimmer_consistent("mean", "sd", "n").alias("consistent")),
         "grimmer_bounds": lambda s, d: mean(s, d).filter("n > 20").select("id", statistics.grimmer_bounds(F.col("mean"), F.col("sd"), F.col("n")).alias("consistent")),
-        "sprite": lambda s, d: mean(s, d).filter("n <= 20").select("id", statistics.sprite_feasible("mean", "sd", "n").alias("feasible")),
+        "sprite": lambda s, d: mean(s, d).select("id", statistics.sprite_feasible("mean", "sd", "n").alias("feasible")),
         "benford": lambda s, d: statistics.benford(v("v_values")(s, d), "group_id", "value"),
         "terminal_digit": lambda s, d: statistics.terminal_digits(v("v_values")(s, d), "group_id", "value"),
         "pvalue_check": lambda s, d: six(statistics.check_p_values(v("v_tests")(s, d)), "computed_p").select("id", "test_type", "computed_p", "significance_changed", "consistent"),

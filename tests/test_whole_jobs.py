@@ -1,6 +1,11 @@
 """Queries and operators do the whole job: cases that a filter, cap or rounding would lose."""
 
-from probity.plans import views
+import itertools
+import math
+from datetime import date
+
+from probity.operators import statistics as S
+from probity.plans import catalog, views
 
 
 def test_links_hold_every_order(spark, tmp_path):
@@ -8,3 +13,23 @@ def test_links_hold_every_order(spark, tmp_path):
     spark.createDataFrame(rows, "l_partkey long, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {tuple(r) for r in views.view(spark, str(tmp_path), "v_links").collect()}
     assert got == set(rows)
+
+
+def test_grimmer_and_sprite_decide_every_row(spark, tmp_path):
+    rows = [(k, 7 * k, date(2020, 1, 1)) for k in range(1, 701, 3)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(str(tmp_path / "orders.parquet"))
+    means = views.view(spark, str(tmp_path), "v_means").collect()
+    q = catalog.queries()
+    assert {r.id: r.consistent for r in q["grimmer"](spark, str(tmp_path)).collect()} == {r.id: S.grimmer(r["mean"], r.sd, r.n) for r in means}
+    assert {r.id for r in q["sprite"](spark, str(tmp_path)).collect()} == {r[0] for r in rows}
+
+
+def test_statistics_by_brute_force():
+    sd_of = lambda c, n: math.sqrt(max((sum(x * x for x in c) - sum(c) ** 2 / n) / (n - 1), 0))
+    for n in (3, 4):
+        for total in range(13):
+            sds = {sd_of(c, n) for c in itertools.product(range(total + 1), repeat=n) if sum(c) == total}
+            scale = {sd_of(c, n) for c in itertools.product(range(1, 8), repeat=n) if sum(c) == total}
+            for k in range(0, 500, 7):
+                assert S.grimmer(total / n, k / 100, n) == any(abs(x - k / 100) <= 0.005 for x in sds)
+                assert S.sprite(total / n, k / 100, n) == any(abs(x - k / 100) <= 0.005 for x in scale)
