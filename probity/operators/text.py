@@ -15,7 +15,6 @@ CHI_TEST = rf"(?iuU)(?:chi2|χ²|χ2|chi-square[d]?)\s*\(\s*(\d+)[^)]*\)\s*=\s*{
 R_TEST = rf"(?iuU)(?<![a-zA-Z])r\s*(?:\(\s*\d+\s*\))?\s*=\s*{NUM}(?:\s*,\s*p\s*[<>=]\s*{NUM})?"
 P_VALUE = rf"(?iuU)(?<![a-zA-Z])p\s*([<>=])\s*{NUM}"
 DECIMAL = r"(?<![a-zA-Z])(-?\d+\.\d+)(?![a-zA-Z])"
-MAX_CHARS = 512_000
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
@@ -30,7 +29,7 @@ def number(text: Column) -> Column:
 
 
 def _exploded(docs: DataFrame, key: str, text: str, pattern: str, n: int) -> DataFrame:
-    return docs.select(key, F.explode(groups(F.left(F.col(text), F.lit(MAX_CHARS)), pattern, n)).alias("m"))
+    return docs.select(key, F.explode(groups(F.col(text), pattern, n)).alias("m"))
 
 
 def extract_means(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -58,7 +57,7 @@ def extract_p_values(docs: DataFrame, key: str = "id", text: str = "text") -> Da
 
 
 def extract_decimals(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.explode(F.regexp_extract_all(F.left(F.col(text), F.lit(MAX_CHARS)), F.lit(DECIMAL), F.lit(1))).alias("v")).select(key, F.col("v").cast("double").alias("value"))
+    return docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(DECIMAL), F.lit(1))).alias("v")).select(key, F.col("v").cast("double").alias("value"))
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str = "text", phrase: str = "phrase") -> DataFrame:
@@ -69,7 +68,7 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str = "text
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     known = phrases.select(F.col(phrase).alias("phrase"), F.array_join(split(F.col(phrase)), " ").alias("gram"), F.size(split(F.col(phrase))).alias("n")).filter("n > 0").distinct()
-    lengths = [r["n"] for r in known.select("n").distinct().orderBy("n").limit(64).collect()]
+    lengths = [r["n"] for r in known.select("n").distinct().orderBy("n").collect()]
     words = docs.select(key, split(F.col(text)).alias("w"))
     grams = F.flatten(F.array(*[F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>")), _gram(n)) for n in lengths])) if lengths else F.array().cast("array<string>")
     return words.select(key, F.explode(grams).alias("gram")).join(known, "gram").groupBy(key, "phrase").agg(F.count("*").alias("hits"))

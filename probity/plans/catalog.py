@@ -116,7 +116,7 @@ def queries() -> dict:
         "intra_paper_pairs": lambda s, d: all_pairs(s, d, False),
         "bucketed_pairs": lambda s, d: similarity.bucketed_pairs(hashes(s, d), DIGITS, DISTANCE),
         "incremental_scan": lambda s, d: similarity.similar_pairs(hashes(s, d), DIGITS, DISTANCE, None, hashes(s, d).filter("figure_id % 10 = 0")),
-        "exact_hash_index": lambda s, d: similarity.exact_hash_index(hashes(s, d).withColumn("phash", F.substring("phash", 1, 2))),
+        "exact_hash_index": lambda s, d: similarity.exact_hash_index(hashes(s, d)),
         "hash_clusters": lambda s, d: similarity.hash_clusters(all_pairs(s, d)),
         "top_matches": lambda s, d: all_pairs(s, d).orderBy("distance", "figure_id_a", "figure_id_b").limit(50),
         "new_matches": lambda s, d: similarity.new_matches(all_pairs(s, d), all_pairs(s, d).filter("figure_id_a % 2 = 0")),

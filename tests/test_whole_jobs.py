@@ -5,6 +5,7 @@ import math
 from datetime import date
 
 from probity.operators import statistics as S
+from probity.operators import text
 from probity.plans import catalog, views
 
 
@@ -33,3 +34,20 @@ def test_statistics_by_brute_force():
             for k in range(0, 500, 7):
                 assert S.grimmer(total / n, k / 100, n) == any(abs(x - k / 100) <= 0.005 for x in sds)
                 assert S.sprite(total / n, k / 100, n) == any(abs(x - k / 100) <= 0.005 for x in scale)
+
+
+def test_exact_index_compares_whole_hashes(spark, tmp_path):
+    far = [1.0] * 8 + [-1.0] * 56
+    rows = [(1, [1.0] * 64), (2, [2.0] * 64), (3, far), (4, far[:-1] + [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalog.queries()["exact_hash_index"](spark, str(tmp_path)).collect()
+    assert [(r.phash, r.figures, r.papers, r.first_figure) for r in got] == [("f" * 16, 2, 2, 1)]
+
+
+def test_phrases_of_all_lengths_and_whole_texts(spark):
+    words = [f"w{k}" for k in range(70)]
+    p = spark.createDataFrame([(" ".join(words[:n]),) for n in range(1, 71)], "phrase string")
+    assert text.phrase_hits(spark.createDataFrame([(1, " ".join(words))], "id long, text string"), p, "id").count() == 70
+    late = spark.createDataFrame([(1, "x" * 600_000 + " with p = 0.04 and 2.5 there")], "id long, text string")
+    assert [r.value for r in text.extract_p_values(late).collect()] == [0.04]
+    assert [r.value for r in text.extract_decimals(late).collect()] == [0.04, 2.5]
