@@ -5,15 +5,18 @@ slot floor(k / w) and is due by slot ceil((k + 1) / w); the earliest deadline go
 track with weights that sum to 1 every block meets its window, so at every slot each source is
 less than one block off its target.
 
-Weights are multiples of 1/L, so the schedule repeats after L slots. The driver simulates one
-period per set of live sources (when a source runs out, the others share in proportion); all
-block and document places follow from it in closed form, in parallel.
+Windows follow from the exact weights, not from rounded shares, so that drift stays below one block
+however long the input. The driver gives every block its slot, for one set of live sources after
+the other (when a source runs out, the others share in proportion); documents meet their blocks in
+parallel. The driver's work and the broadcast plan grow with the number of blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from probity.llm import text as T
 BLOCK_BYTES = 64 * 1024
 PERIOD = 1000
 CHUNKS = 64
+PLAN_ROW = 4096  # blocks in a row of the plan, before it is exploded
 MAX_SOURCES = 10_000
 
 
@@ -42,13 +46,23 @@ def integer_weights(weights: Mapping, period: int = PERIOD) -> dict:
     return out
 
 
-def edf_period(shares: Mapping) -> dict:
-    """Slots of each source's blocks in one period, earliest deadline first; ties by share, then name."""
+def exact_weights(weights: Mapping) -> dict:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def edf_period(shares: Mapping, blocks: Mapping | None = None) -> dict:
+    """Slots of each source's blocks in one period, earliest deadline first; ties by share, then name.
+
+    With ``blocks``, up to the slot in which the first source has placed all its blocks.
+    """
     period, done, slots = sum(shares.values()), dict.fromkeys(shares, 0), {s: [] for s in shares}
     waiting = [(0, str(s), s) for s in shares]
     heapq.heapify(waiting)
     ready: list = []
-    for t in range(period):
+    for t in range(period if blocks is None else sum(blocks[s] for s in shares)):
         while waiting and waiting[0][0] <= t:
             _, _, s = heapq.heappop(waiting)
             due = -(-(done[s] + 1) * period // shares[s])
@@ -56,22 +70,26 @@ def edf_period(shares: Mapping) -> dict:
         _, _, _, s = heapq.heappop(ready)
         slots[s].append(t)
         done[s] += 1
-        if done[s] < shares[s]:
+        if blocks is not None and done[s] == blocks[s]:
+            break
+        if blocks is not None or done[s] < shares[s]:
             heapq.heappush(waiting, (done[s] * period // shares[s], str(s), s))
     return slots
 
 
-def plan_phases(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> list[tuple]:
-    """(source, phase, first block, end block, share, start slot, period, slots) for all sources."""
+def plan_phases(blocks: Mapping, weights: Mapping, period: int | None = None) -> list[tuple]:
+    """(source, phase, first block, end block, blocks, start slot, slots in the phase, slots, share)
+    for all sources. With ``period``, weights are rounded to its parts first. Sources of weight 0
+    come when the others have run out."""
     left, used, start, phase, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0, []
     while left:
-        shares = integer_weights({s: weights[s] for s in left}, period)
-        slots, size = edf_period(shares), sum(shares.values())
-        last = lambda s: (left[s] - 1) // shares[s] * size + slots[s][(left[s] - 1) % shares[s]]  # noqa: B023, E731
-        end = min(last(s) for s in left) + 1
-        for s in list(left):
-            n = end // size * shares[s] + sum(x < end % size for x in slots[s])
-            out.append((s, phase, used[s], used[s] + n, shares[s], start, size, slots[s]))
+        live = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
+        shares = exact_weights(live) if period is None else integer_weights(live, period)
+        slots, size = edf_period(shares, left), sum(shares.values())
+        end = sum(map(len, slots.values()))
+        for s, own in slots.items():
+            n = len(own)
+            out.append((s, phase, used[s], used[s] + n, n, start, end, own, shares[s] / size))
             used[s] += n
             left[s] -= n
             if not left[s]:
@@ -99,25 +117,20 @@ def mix_sources(docs: DataFrame, order: list[Column], chunk_key: Column, source:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     sizes = {r[key]: r["n"] for r in totals}
     target = {s: float(n or 1) ** temperature for s, n in sizes.items()} if weights is None else {s: weights[None if s == "" else s[1:]] for s in sizes}
-    phases = plan_phases({s: max(1, -(-n // block_cost)) for s, n in sizes.items()}, target)
-    by_source: dict = {}
-    for s, *rest in phases:
-        by_source.setdefault(s, []).append(tuple(rest))
-    kind = f"`{key}` string, mix_plan array<struct<phase:int,first:bigint,end:bigint,share:int,start:bigint,period:int,slots:array<int>>>"
-    plan = spark.createDataFrame(list(by_source.items()), kind)
+    blocks = {s: max(1, -(-n // block_cost)) for s, n in sizes.items()}
+    phases = plan_phases(blocks, target)
+    rows = [(q, phase, first + k, start, slots[k : k + PLAN_ROW], share) for q, phase, first, _, _, start, _, slots, share in phases for k in range(0, len(slots), PLAN_ROW)]
+    parts = spark.createDataFrame(rows, f"`{key}` string, mix_phase int, mix_first long, mix_start long, mix_slots array<bigint>, mix_weight double")
+    plan = parts.select(key, "mix_phase", "mix_first", "mix_start", "mix_weight", F.posexplode("mix_slots").alias("mix_at", "mix_slot"))
+    plan = plan.select(key, (F.col("mix_first") + F.col("mix_at")).alias("mix_block"), "mix_phase", (F.col("mix_start") + F.col("mix_slot")).alias("mix_slot"), "mix_weight")
+    ends = spark.createDataFrame([(q, n - 1) for q, n in blocks.items()], f"`{key}` string, mix_last long")
     ahead = F.coalesce(F.sum(run).over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(key, chunk, ahead.alias(before)).join(F.broadcast(plan), key)  # chunks x sources rows at most
+    offsets = sums.select(key, chunk, ahead.alias(before)).join(F.broadcast(ends), key)  # chunks x sources rows at most
     within = F.coalesce(F.sum(price).over(Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = base.withColumn(run, within).join(F.broadcast(offsets), [key, chunk])
     out = out.withColumn("mix_block", F.floor((F.col(before) + F.col(run)) / F.lit(block_cost)).cast("long"))
-    last = F.element_at("mix_plan", -1)["end"] - 1
-    out = out.withColumn("mix_block", F.least("mix_block", last))
-    out = out.withColumn("mix_plan", F.get(F.filter("mix_plan", lambda p: (p["first"] <= F.col("mix_block")) & (F.col("mix_block") < p["end"])), 0))
-    k = F.col("mix_block") - F.col("mix_plan.first")
-    share = F.col("mix_plan.share")
-    slot = F.col("mix_plan.start") + F.floor(k / share) * F.col("mix_plan.period") + F.get(F.col("mix_plan.slots"), (k % share).cast("int"))
-    out = out.withColumns({"mix_phase": F.col("mix_plan.phase"), "mix_slot": slot.cast("long"), "mix_weight": share / F.col("mix_plan.period"), "mix_rank": F.col(before) + F.col(run)})
-    return out.drop(key, chunk, price, run, before, "mix_plan")
+    out = out.withColumn("mix_block", F.least("mix_block", "mix_last")).join(F.broadcast(plan), [key, "mix_block"])
+    return out.withColumn("mix_rank", F.col(before) + F.col(run)).drop(key, chunk, price, run, before, "mix_last")
 
 
 def mixed_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
