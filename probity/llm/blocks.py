@@ -30,6 +30,12 @@ RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = set("a abbr b bdi bdo big cite code em font i kbd mark q s samp small span strong sub sup time tt u var wbr del ins img label".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Without a closing tag these don't hide the rest of the page; the first two may close themselves.
+UNCLOSED = {"svg", "iframe", "noscript", "template", "select", "option"}
+SELF_CLOSED = {"svg", "iframe"}
+#: An option's closing tag can be left out: it ends before the next one, its list's end or a block.
+OPTION_END = re.compile(rf"</option\b[^>]*>|(?=</?(?:{'|'.join(sorted(CLOSES_P | {'option', 'optgroup', 'select', 'datalist', 'body', 'html'}))})\b)", re.I)
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 SPACE = re.compile(r"\s+")
 
 
@@ -82,8 +88,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 del stack[where:]
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            if tag in SELF_CLOSED and m[0].endswith("/>"):
+                continue
+            close = (OPTION_END if tag == "option" else re.compile(f"</{tag}\\b[^>]*>", re.I)).search(page, at)
+            at = close.end() if close else at if tag in UNCLOSED else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -102,7 +110,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[3])).lower() if m[3] else ""
             stack.append((tag, f"{tag} {names}" if names else tag))
     if at < len(page):
-        add(page[at:] if "<" not in page[at:] else page[at:].split("<", 1)[0])
+        add(UNFINISHED.split(page[at:], maxsplit=1)[0])
     end_block()
     return out
 

@@ -1,6 +1,8 @@
 """Training-data operators do the whole job: cases that a filter, cap or rounding would lose."""
 
-from probity.llm import mixing
+import pytest
+
+from probity.llm import blocks, mixing
 
 
 def test_mixing_keeps_to_exact_weights():
@@ -16,3 +18,22 @@ def test_mixing_keeps_to_exact_weights():
                 assert abs(k - t * share) < 1
                 assert abs(k + 1 - (t + 1) * share) < 1
             assert abs(n - size * share) < 1
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<datalist><option value=x><option value=y>why</datalist><p>Article.</p>", ["Article."]),
+        ("<datalist><option>a</option><option>b</datalist><p>Article.</p><select><option>z</option></select>", ["Article."]),
+        ("<option value=x><p>Article.</p>", ["Article."]),
+        ("<svg width='1'/><p>Article.</p><svg><text>no</text></svg><p>More.</p>", ["Article.", "More."]),
+        ("<iframe src='a'/><p>Article.</p>", ["Article."]),
+        ("<iframe src='a'><p>Article.</p>", ["Article."]),
+        ("<noscript>Turn it on.<p>Article.</p>", ["Turn it on.", "Article."]),
+        ("<p>One.</p><p>For all x < 5 it holds", ["One.", "For all x < 5 it holds"]),
+        ("<p>x < 5 holds <a href", ["x < 5 holds"]),
+        ("<p>Article.</p><script>var a = 1;", ["Article."]),
+    ],
+)
+def test_pages_arent_cut(page, texts):
+    assert [b.text for b in blocks.leaf_blocks(page)] == texts
