@@ -1,22 +1,25 @@
 """Operator 10: language-model scoring with an Elias-Fano n-gram trie.
 
-Two levels, in shards by the hash of the context word. Level one holds the words' hashes, counts,
-quantised back-off weights and monotone pointers into level two; level two holds each context's
-successors, made increasing by the context's offset, with quantised discounted probabilities.
-Shards are files in the folder all executors share; workers map them into memory and look words
-up by successor search within their context.
+Three levels, in shards by the hash of the first context word. Level one holds the words' hashes and
+counts; levels two and three hold each context's successors, made increasing by the context's
+offset, with their counts, the number of kinds of successors and monotone pointers. A context of
+level three is a pair's place in level two. Shards are files in the folder all executors share;
+workers map them into memory and look words up by successor search within their context.
 
 Counting goes over all training texts: tasks count in bounded memory and send compressed sorted
-runs a shard; a shard is merged by one task. The number of shards follows the input. Nothing of
-the model passes through the driver but shard sizes.
+runs a shard; a shard is merged by one task. The number of shards follows the input, and scores
+don't depend on it. Nothing of the model passes through the driver but shard sizes and the
+numbers of n-grams seen once and twice, from which a level's discount D comes.
 
-P(w | h) = max(c(h w) - D, 0) / c(h) + g(h) P(w), bigrams seen once left to the back-off g(h);
-P(w) = (c(w) + 1) / (N + V + 1). It sums to 1 over the vocabulary and one unknown word.
+P(w | h) = max(c(h w) - D, 0) / c(h) + D kinds(h) / c(h) P(w | shorter h), for h of two words and of
+one; P(w) = (c(w) + 1) / (N + V + 1). It sums to 1 over the vocabulary and one unknown word. The
+first token of a text follows the end alone.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import mmap
 import os
 import tempfile
@@ -36,8 +39,6 @@ from pyspark.sql import functions as F
 from probity.llm import eliasfano as ef
 from probity.llm import text as T
 
-MIN_COUNT = 2
-STEP = 1 / 4096  # of log10, in 16-bit codes
 #: The end of a text; a word can't hold a blank.
 END = xxhash.xxh3_64_intdigest(b" ")
 #: Distinct entries a task holds before it sends them on.
@@ -47,14 +48,6 @@ U64 = np.uint64
 RUNS = "shard int, keys binary, counts binary"
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-np.log10(np.maximum(p, 1e-15)) / STEP), 65535).astype(np.uint16)
-
-
-def restore(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-STEP * code.astype(float))
-
-
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -294,62 +287,107 @@ def _count_pairs(folder: str, bits: int, bases: list[int]):
     return run
 
 
-def _merge_pairs(folder: str, bases: list[int]):
+def _history(pairs: np.ndarray, docs: list) -> np.ndarray:
+    """The pair before each token (-1: none, as for the first of a text)."""
+    out = np.concatenate([[-1], pairs[:-1]])
+    out[np.cumsum([0, *(len(d) + 1 for d in docs[:-1])])] = -1
+    return out
+
+
+def _count_triples(folder: str, bits: int, bases: list[int], info: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, seen, v = Trie(folder, bits, bases, 0, info), Counter(), U64(bases[-1])
+        borders = np.array(info["pair_bases"][1:-1], U64) * v
+        for docs, _ in _chunks(batches, 0):
+            ids, _ = trie.words.encode(docs)
+            before = _history(trie.find("pairs", _contexts(ids, docs), ids)[0], docs)
+            known = before >= 0
+            seen.add(before[known].astype(U64) * v + ids[known].astype(U64))
+            if len(seen) > HELD:
+                yield from split_runs(*seen.take(), borders)
+        if len(seen):
+            yield from split_runs(*seen.take(), borders)
+
+    return run
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
+def _merge_level(folder: str, name: str, bases: list[int], v: int):
+    """``bases``: the first context of each shard."""
+
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        s, v = key[0], bases[-1]
+        s = key[0]
         keys, counts = merge([expand(k, c) for k, c in zip(frame["keys"], frame["counts"], strict=True)])
-        n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        kept = counts >= MIN_COUNT
-        keys, counts = keys[kept], counts[kept]
+        contexts = bases[s + 1] - bases[s]
         context = (keys // U64(v)).astype(np.int64) - bases[s]
-        arrays, _ = ef.unpack(map_file(folder, f"words-{s}"))
-        total = arrays["counts"].astype(float)
-        share = (counts - discount) / total[context]
-        rest = np.maximum(1 - np.bincount(context, share, len(total)), 1e-9)
-        starts = np.searchsorted(context, np.arange(len(total) + 1)).astype(U64)
+        starts = np.searchsorted(context, np.arange(contexts + 1)).astype(U64)
         own = keys - U64(bases[s]) * U64(v)
-        level = {f"pair_{k}": a for k, a in ef.encode(own, max(1, len(total) * v)).items()}
+        level = {f"key_{k}": a for k, a in ef.encode(own, max(1, contexts * v)).items()}
         pointers = {f"at_{k}": a for k, a in ef.encode(starts, len(keys) + 1).items()}
-        write_file(folder, f"pairs-{s}", ef.pack(level | pointers | {"share": quantise(share), "rest": quantise(rest)}))
-        return pd.DataFrame({"shard": [s], "n": [len(keys)], "tokens": [int(counts.sum())]})
+        write_file(folder, f"{name}-{s}", ef.pack(level | pointers | {"counts": _small(counts), "kinds": _small(np.diff(starts.astype(np.int64)))}))
+        return pd.DataFrame({"shard": [s], "n": [len(keys)], "n1": [int((counts == 1).sum())], "n2": [int((counts == 2).sum())]})
 
     return run
 
 
 class Trie:
-    """Both levels, mapped in place."""
+    """All levels, mapped in place. ``info``: first pairs of the shards, which of them have triples,
+    discounts; by default as ``train`` left it in the folder."""
 
-    def __init__(self, folder: str, bits: int, bases: list[int], tokens: int) -> None:
-        self.words, self.folder, self.bases, self.tokens, self.maps = Words(folder, bits, bases), folder, np.array(bases), tokens, {}
+    def __init__(self, folder: str, bits: int, bases: list[int], tokens: int, info: dict | None = None) -> None:
+        self.words, self.folder, self.tokens, self.maps = Words(folder, bits, bases), folder, tokens, {}
+        self.info = info or json.loads(bytes(map_file(folder, "model")))
+        self.bases = {"pairs": np.array(bases), "triples": np.array(self.info["pair_bases"])}
+        self.size = bases[-1]
 
-    def shard(self, s: int) -> tuple:
-        if s not in self.maps:
-            a, _ = ef.unpack(map_file(self.folder, f"pairs-{s}"))
-            self.maps[s] = ef.EliasFano(a, "pair_"), a["share"], a["rest"]
-        return self.maps[s]
+    def shard(self, name: str, s: int) -> tuple:
+        if (name, s) not in self.maps:
+            a, _ = ef.unpack(map_file(self.folder, f"{name}-{s}"))
+            self.maps[name, s] = ef.EliasFano(a, "key_"), a["counts"], a["kinds"]
+        return self.maps[name, s]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 1) / (self.tokens + self.bases[-1] + 1)
-
-    def conditional(self, context: np.ndarray, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """P(id | context); an unknown context leaves the unigram."""
-        out, v = base.copy(), int(self.bases[-1])
-        s_of = np.searchsorted(self.bases, context, side="right") - 1
-        order = np.argsort(np.where(context < 0, -1, s_of), kind="stable")
-        cut = np.searchsorted(s_of[order], np.arange(len(self.bases)))
-        for s in np.flatnonzero(cut[1:] > cut[:-1]):
-            level, share, rest = self.shard(int(s))
+        return (counts + 1) / (self.tokens + self.size + 1)
+
+    def find(self, name: str, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Places of (context, id) in a level (-1: none), their counts, the contexts' kinds of
+        successors and counts; zeros for an unknown context."""
+        place, counts, kinds, total = np.full(len(ids), -1, np.int64), *(np.zeros(len(ids)) for _ in range(3))
+        bases, v = self.bases[name], self.size
+        s_of = np.searchsorted(bases, context, side="right") - 1
+        order = np.argsort(s_of, kind="stable")
+        cut = np.searchsorted(s_of[order], np.arange(len(bases)))
+        for s in map(int, np.flatnonzero(cut[1:] > cut[:-1])):
+            if name == "triples" and not self.info["triples"][s]:
+                continue
+            level, held, several = self.shard(name, s)
             rows = order[cut[s] : cut[s + 1]]
-            own = context[rows] - self.bases[s]
-            p = restore(rest[own]) * base[rows]
+            own = context[rows] - bases[s]
+            kinds[rows] = several[own]
+            total[rows] = (self.words.shard(s) if name == "pairs" else self.shard("pairs", s))[1][own]
             seen = np.flatnonzero(ids[rows] >= 0)
             keys, back = np.unique(own[seen].astype(U64) * U64(v) + ids[rows[seen]].astype(U64), return_inverse=True)
-            at = level.find(keys)
-            extra = np.where(at >= 0, restore(share[np.maximum(at, 0)]) if level.n else 0.0, 0.0)
-            p[seen] += extra[back]
-            out[rows] = p
-        return out
+            if not len(keys) or not level.n:
+                continue
+            at = level.find(keys)[back]
+            hit = at >= 0
+            counts[rows[seen[hit]]] = held[at[hit]]
+            if name == "pairs":
+                place[rows[seen[hit]]] = at[hit] + self.info["pair_bases"][s]
+        return place, counts, kinds, total
+
+    def mixed(self, name: str, found: tuple, base: np.ndarray) -> np.ndarray:
+        """Discounted counts of a level over the shorter context's probabilities."""
+        _, counts, kinds, total = found
+        d = self.info["discount"][name]
+        return np.where(kinds > 0, (np.maximum(counts - d, 0) + d * kinds * base) / np.maximum(total, 1), base)
+
+    def conditional(self, context: np.ndarray, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """P(id | context word); an unknown context leaves the unigram."""
+        return self.mixed("pairs", self.find("pairs", context, ids), base)
 
 
 def _score(folder: str, bits: int, bases: list[int], tokens: int, kind: pa.Schema):
@@ -358,7 +396,8 @@ def _score(folder: str, bits: int, bases: list[int], tokens: int, kind: pa.Schem
         for docs, rest in _chunks(batches, len(kind) - 4):
             ids, counts = trie.words.encode(docs)
             base = trie.unigram(counts)
-            p = trie.conditional(_contexts(ids, docs), ids, base)
+            pairs = trie.find("pairs", _contexts(ids, docs), ids)
+            p = trie.mixed("triples", trie.find("triples", _history(pairs[0], docs), ids), trie.mixed("pairs", pairs, base))
             first = np.cumsum([0, *(len(d) + 1 for d in docs[:-1])])
             per = [np.array([len(d) + 1 for d in docs], np.int64), np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(np.log10(base), first), np.add.reduceat(np.log10(p), first)]
             carried = [pa.array([r[k].as_py() for r in rest], kind[k].type) for k in range(len(kind) - 4)]
@@ -382,8 +421,20 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     for s in range(1 << bits):
         bases.append(bases[-1] + n.get(s, 0))
     model = {"folder": folder, "bits": bits, "bases": bases, "tokens": sum(r["tokens"] for r in sizes)}
-    pairs = texts.mapInArrow(_count_pairs(folder, bits, bases), RUNS).groupBy("shard").applyInPandas(_merge_pairs(folder, bases), "shard int, n long, tokens long").collect()
-    return model | {"pairs": sum(r["n"] for r in pairs)}
+    v, kind = bases[-1], "shard int, n long, n1 long, n2 long"
+    pairs = texts.mapInArrow(_count_pairs(folder, bits, bases), RUNS).groupBy("shard").applyInPandas(_merge_level(folder, "pairs", bases, v), kind).collect()
+    n = {r["shard"]: r["n"] for r in pairs}
+    info = {"pair_bases": [0, *itertools.accumulate(n.get(s, 0) for s in range(1 << bits))]}
+    triples = texts.mapInArrow(_count_triples(folder, bits, bases, info), RUNS).groupBy("shard").applyInPandas(_merge_level(folder, "triples", info["pair_bases"], v), kind).collect()
+    n = {r["shard"]: r["n"] for r in triples}
+    info |= {"triples": [n.get(s, 0) for s in range(1 << bits)], "discount": {"pairs": _discount(pairs), "triples": _discount(triples)}}
+    write_file(folder, "model", json.dumps(info).encode())
+    return model | {"pairs": info["pair_bases"][-1], "triples": sum(info["triples"])}
+
+
+def _discount(levels: list) -> float:
+    n1, n2 = sum(r["n1"] for r in levels), sum(r["n2"] for r in levels)
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
 
 def score(docs: DataFrame, model: dict, carry: list[str], text: str = "text") -> DataFrame:

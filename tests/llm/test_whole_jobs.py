@@ -1,8 +1,11 @@
 """Training-data operators do the whole job: cases that a filter, cap or rounding would lose."""
 
+import math
+from collections import Counter
+
 import pytest
 
-from probity.llm import blocks, mixing
+from probity.llm import blocks, mixing, ngrams
 
 
 def test_mixing_keeps_to_exact_weights():
@@ -37,3 +40,31 @@ def test_mixing_keeps_to_exact_weights():
 )
 def test_pages_arent_cut(page, texts):
     assert [b.text for b in blocks.leaf_blocks(page)] == texts
+
+
+def test_trigram_scores_by_brute_force_and_partitions(spark):
+    texts = ["a b c a b d", "a b c", "b c a b c", "d", "", None, "a b e f", "c a b"] * 2 + ["once only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = [[*(t or "").split(), " "] for t in texts]
+    one = Counter(w for t in tokens for w in t)
+    two = Counter(p for t in tokens for p in zip([" ", *t], t, strict=False))
+    three = Counter(p for t in tokens for p in zip([" ", *t], t, t[1:], strict=False))
+    cut = lambda c: sum(x == 1 for x in c.values()) / sum({1: 1, 2: 2}.get(x, 0) for x in c.values())
+    kinds2, kinds3 = Counter(p[0] for p in two), Counter(p[:2] for p in three)
+
+    def score(t):
+        out = 0.0
+        for i, w in enumerate(t):
+            h = t[i - 1] if i else " "
+            p = (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+            p = (max(two[h, w] - cut(two), 0) + cut(two) * kinds2[h] * p) / one[h]
+            if i:
+                g = (t[i - 2] if i > 1 else " ", h)
+                p = (max(three[(*g, w)] - cut(three), 0) + cut(three) * kinds3[g] * p) / two[g] if kinds3[g] else p
+            out += math.log10(p)
+        return out
+
+    for parts in (1, 40):
+        frame = docs.repartition(parts)
+        got = {r.doc_id: r.score for r in ngrams.score(frame, ngrams.train(frame), ["doc_id"]).collect()}
+        assert got == {k: pytest.approx(score(t)) for k, t in enumerate(tokens)}
