@@ -8,6 +8,7 @@ Labels never enter a score; of each row only its text does.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,27 +55,39 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+#: Texts whose terms are expanded at once while fitting.
+STEP_TEXTS = 1000
+
+
 def fit(at: list[np.ndarray], y: np.ndarray, terms: np.ndarray, steps: int = 200, factors: int = FACTORS, rate: float = 0.05, l2: float = 2e-4) -> FactorizationMachine:
     """Full-batch Adam on the logistic loss. ``at``: per text, the places in ``terms`` of those it
-    holds. Without both labels the score is their rate (0 if there are none)."""
+    holds. Without both labels the score is their rate (0 if there are none).
+
+    Gradients are summed over ``STEP_TEXTS`` texts at a time, so memory beyond ``at`` doesn't grow.
+    """
     y = np.asarray(y, float)
     none = np.empty(0, int), np.empty(0), np.empty((0, factors))
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(40.0 if len(y) and y[0] else -40.0, *none)
-    row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at).astype(int)
     n, k = len(y), len(terms)
     weight = np.where(y > 0, np.sqrt((1 - y.mean()) / y.mean()), 1.0) / n  # the rarer label counts more
+    sizes = np.array([len(a) for a in at])
+    parts = [(slice(i, i + STEP_TEXTS), np.repeat(np.arange(len(sizes[i : i + STEP_TEXTS]), dtype=np.int32), sizes[i : i + STEP_TEXTS]), np.concatenate(at[i : i + STEP_TEXTS]).astype(np.int32)) for i in range(0, n, STEP_TEXTS)]
     rng = np.random.default_rng(5)
     p = {"b": np.array([np.log(y.mean() / (1 - y.mean()))]), "w": np.zeros(k), "v": rng.normal(0, 0.02, (k, factors))}
     m, s = {i: np.zeros_like(x) for i, x in p.items()}, {i: np.zeros_like(x) for i, x in p.items()}
     for t in range(1, steps + 1):
-        v = p["v"][col]
-        total = np.stack([np.bincount(row, v[:, f], n) for f in range(factors)], axis=1)
-        square = np.bincount(row, (v * v).sum(axis=1), n)
-        z = p["b"] + np.bincount(row, p["w"][col], n) + 0.5 * ((total**2).sum(axis=1) - square)
-        e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g_v = e[row, None] * (total[row] - v)
-        g = {"b": np.array([e.sum()]), "w": np.bincount(col, e[row], k) + l2 * p["w"], "v": np.stack([np.bincount(col, g_v[:, f], k) for f in range(factors)], axis=1) + l2 * p["v"]}
+        g = {"b": np.zeros(1), "w": l2 * p["w"], "v": l2 * p["v"]}
+        for rows, row, col in parts:
+            some, v = len(y[rows]), p["v"][col]
+            total = np.stack([np.bincount(row, v[:, f], some) for f in range(factors)], axis=1)
+            square = np.bincount(row, (v * v).sum(axis=1), some)
+            z = p["b"] + np.bincount(row, p["w"][col], some) + 0.5 * ((total**2).sum(axis=1) - square)
+            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) * weight[rows]
+            g_v = e[row, None] * (total[row] - v)
+            g["b"] += e.sum()
+            g["w"] += np.bincount(col, e[row], k)
+            g["v"] += np.stack([np.bincount(col, g_v[:, f], k) for f in range(factors)], axis=1)
         for i in p:
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             s[i] = 0.999 * s[i] + 0.001 * g[i] ** 2
@@ -107,13 +120,37 @@ def select_terms(counts: DataFrame, most: int = TERMS) -> np.ndarray:
     return np.sort(np.array([r["term"] for r in best.orderBy(F.desc("z"), "term").limit(most).collect()], int))
 
 
+PACKED = "keys binary, labels binary, sizes binary, at binary"
+
+
 def _places(terms: np.ndarray):
+    """The terms that each text holds, a batch of texts packed in a row."""
     place = {int(t): i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sorted({place[h] for w in distinct_words(t) for h in term_hashes(w) if h in place}) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "label", "at"])
+            at = [sorted({place[h] for w in distinct_words(t) for h in term_hashes(w) if h in place}) for t in batch.column(2).to_pylist()]
+            keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts = json.dumps(keys).encode(), np.array(labels, np.int8).tobytes(), np.array([len(a) for a in at], np.int32).tobytes(), np.array([x for a in at for x in a], np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["keys", "labels", "sizes", "at"])
+
+    return run
+
+
+def _fit_task(terms: np.ndarray):
+    """Fits in one task, on the bounded sample; texts in the order of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, labels, at = [], [], []
+        for row in (r for b in batches for r in b.to_pylist()):
+            keys += json.loads(row["keys"])
+            labels.append(np.frombuffer(row["labels"], np.int8))
+            at += np.split(np.frombuffer(row["at"], np.int32), np.cumsum(np.frombuffer(row["sizes"], np.int32))[:-1]) if len(row["sizes"]) else []
+        order = sorted(range(len(keys)), key=lambda i: keys[i])
+        y = np.concatenate([*labels, np.empty(0, np.int8)])
+        model = fit([at[i] for i in order], y[order] > 0, terms)
+        arrays = [pa.array([model.bias]), *(pa.array([a.tobytes()], pa.binary()) for a in (model.terms.astype(np.int64), model.linear, model.factors))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["bias", "terms", "linear", "factors"])
 
     return run
 
@@ -121,22 +158,26 @@ def _places(terms: np.ndarray):
 def fit_on_labels(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> FactorizationMachine:
     """Fits on at most ``most`` labelled keys that ``usable`` (over ``key``) admits.
 
-    Null keys and labels are left out; a key labelled twice takes the larger label.
+    Null keys and labels are left out; a key labelled twice takes the larger label, a key with
+    several texts one of them (the least by hash), so that ``most`` bounds the texts too. The fit
+    runs in one task on that sample; only chosen terms and the model come to the driver.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), usable.alias("ok"))
     known = known.filter("ok").groupBy("key").agg(F.max("label").alias("label"))
-    picked = known.orderBy(F.xxhash64("key"), "key").limit(most)  # the bound of what is broadcast and collected
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("key", "label", "text")
-    rows = T.stored(rows)
+    picked = known.orderBy(F.xxhash64("key"), "key").limit(most)  # the bound of what is broadcast
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
+    one = rows.groupBy("key").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("of"))
+    rows = T.stored(one.select("key", F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "of.text"))
     counts = T.stored(rows.mapInArrow(_term_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     terms = select_terms(counts)
-    found = rows.mapInArrow(_places(terms), "key long, label int, at array<int>").toPandas()
-    found["order"] = [tuple(t) for t in found["at"]]
-    found = found.sort_values(["key", "order"], kind="stable")
-    return fit([np.asarray(t, int) for t in found["at"]], found["label"].to_numpy() > 0, terms)
+    fitted = rows.mapInArrow(_places(terms), PACKED).repartition(1).mapInArrow(_fit_task(terms), "bias double, terms binary, linear binary, factors binary").first()
+    if fitted is None:
+        return fit([], np.empty(0), terms)
+    linear, factors = np.frombuffer(fitted["linear"]), np.frombuffer(fitted["factors"])
+    return FactorizationMachine(fitted["bias"], np.frombuffer(fitted["terms"], np.int64), linear, factors.reshape(len(linear), FACTORS))
 
 
-def _scorer(model: FactorizationMachine):
+def _scorer(model: FactorizationMachine, name: str):
     place = {int(t): i for i, t in enumerate(model.terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +194,19 @@ def _scorer(model: FactorizationMachine):
                     if c:
                         columns.update(c)
                 scores.append(model.score(np.fromiter(sorted(columns), int, len(columns))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], name])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, carry: list[str], text: str = "text") -> DataFrame:
-    """The ``carry`` columns and ``score`` (0 to 1) for every row; null and empty texts get the bias alone."""
-    rows = docs.select(*carry, F.col(text).alias("_scored_text"))
+    """The ``carry`` columns and ``score`` (0 to 1) for every row; null and empty texts get the bias
+    alone. If ``score`` is carried, the added column is called ``_score``. An empty table stays empty."""
+    kept = docs.select(*carry)
+    scored, score = T.unused(kept, "scored_text", "score")
+    rows = docs.select(*carry, F.col(text).alias(scored))
     kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(_scorer(model), f"{kind}score double")
+    return rows.mapInArrow(_scorer(model, score), f"{kind}`{score}` double")
 
 
 def held_out(key: Column, parts: int = 5, part: int = 0) -> Column:
