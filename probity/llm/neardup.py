@@ -3,16 +3,21 @@
 Each text becomes its set of five-word shingles. MinHash samples give band keys and, folded into
 a parity bitmap, an odd sketch. Texts with equal sets are one node. Nodes that meet in a band
 bucket are candidates; the XOR population count of two sketches estimates their similarity and
-drops clear misses; what is left is confirmed on the full sets.
+drops those below. Just under the threshold, where an estimate can't tell, a second parity bitmap
+over the whole sets bounds it exactly; what is left is confirmed on the full sets.
 
-A bucket isn't expanded into pairs. Its members are compared with a few pivots; links are merged
-into classes; a bucket is done when the members that haven't been pivots share one class.
-Otherwise further, more numerous pivots follow, until every pair in every bucket is either in one
-class or compared. Pivots come from partial aggregates, members stay spread over tasks.
+A bucket isn't expanded into pairs. Its members are compared with a few pivots; new links merge
+classes; a bucket is done when the members that haven't been pivots share one class. Otherwise
+further, more numerous pivots follow, until every pair in every bucket is either in one class or
+compared. Large buckets, frequent pivots and large classes are dealt over several tasks.
+
+A node's id starts with the least key of its documents, in an order-preserving form, so that the
+least id of a class names the class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +29,19 @@ from pyspark.sql import functions as F
 from probity.llm import text as T
 
 SHINGLE = 5
-BANDS, ROWS = 32, 8
-SKETCH_BITS = 512
-SKETCH_SAMPLES = 128
-#: Bits of the second parity bitmap, over the whole set. Two bitmaps never differ in more bits than
-#: their sets in members, which makes it an exact bound.
+SAMPLES = 256
+#: Bands are as long as they can be while a pair at the threshold is missed less often than this.
+MISSED = 1e-4
+SKETCH_BITS = 1024
+#: Standard deviations by which a pair at the threshold may differ from the estimate and still be
+#: confirmed on the full sets: about 3 in 100,000 such pairs go beyond.
+SKETCH_SLACK = 4.0
+#: Bits of the parity bitmap over a whole set. Two such bitmaps never differ in more bits than their
+#: sets in members.
 SET_BITS = 1024
-#: Sketches may overrate the distance of two sets; pairs are dropped only beyond this margin.
-SKETCH_SLACK = 6.0
 FIRST_PIVOTS = 4
+#: Links that one task merges (some 100 MB); more are merged by distributed rounds.
+TASK_LINKS = 1_000_000
 M64 = (1 << 64) - 1
 
 
@@ -88,6 +97,13 @@ def min_hashes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.nda
     return out
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """Bands and samples in each."""
+    j = percent / 100
+    rows = max((r for r in range(1, 17) if (1 - j**r) ** (SAMPLES // r) <= MISSED), default=1)
+    return SAMPLES // rows, rows
+
+
 def parity(items: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((_mixed(items) % np.uint64(bits)).astype(int), minlength=bits) & 1).astype(np.uint8)).view("i8")
 
@@ -97,43 +113,61 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return parity(samples.astype(np.uint64) | (np.arange(len(samples), dtype=np.uint64) << np.uint64(32)), SKETCH_BITS)
 
 
+def expected_difference(differing: float) -> float:
+    """Odd bits that so many thrown items leave."""
+    return SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differing)
+
+
+def estimated_similarity(difference: float) -> float:
+    """The share of equal samples from the XOR population count of two sketches."""
+    rest = max(1 - 2 * difference / SKETCH_BITS, 1e-9)
+    return 1 - math.log(rest) / math.log(1 - 2 / SKETCH_BITS) / (2 * SAMPLES)
+
+
 def sketch_limit(percent: int) -> int:
-    """Largest XOR population count that a pair at ``percent`` similarity shows, with the slack in
-    standard deviations of sampling and folding."""
-    k, m = SKETCH_SAMPLES, SKETCH_BITS
-    j = percent / 100
-    differing = 2 * (k * (1 - j) + SKETCH_SLACK * (k * j * (1 - j)) ** 0.5)
-    mean = m / 2 * (1 - (1 - 2 / m) ** differing)
-    return int(mean + SKETCH_SLACK * (mean * (1 - mean / m)) ** 0.5)
+    """The XOR population count up to which a pair can have ``percent`` similarity.
+
+    Two items differ for each sample that does. Variances of sampling and of folding add up.
+    """
+    k, j = SAMPLES, percent / 100
+    mean = expected_difference(2 * k * (1 - j))
+    slope = (1 - 2 / SKETCH_BITS) ** (2 * k * (1 - j))
+    folding = max(0.0, mean * (1 - mean / SKETCH_BITS) - 2 * k * (1 - j) * slope**2)
+    return math.ceil(mean + SKETCH_SLACK * (4 * k * j * (1 - j) * slope**2 + folding) ** 0.5)
 
 
 SKETCHES = "doc long, digest long, n int, node binary, sketch array<long>, whole array<long>, bands array<long>"
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, (mul, add) = _Words(), _seeds(BANDS * ROWS)
-    step = np.arange(BANDS, dtype=np.uint64)
-    for batch in batches:
-        n, nodes, sketches, wholes, bands = [], [], [], [], []
-        for text in batch.column(2).to_pylist():
-            s = shingle_set(text, known)
-            n.append(len(s))
-            nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            if len(s):
-                m = min_hashes(s, mul, add)
-                sketches.append(odd_sketch(m[:SKETCH_SAMPLES]))
-                wholes.append(parity(s, SET_BITS))
-                key = step
-                for r in range(ROWS):
-                    key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[r::ROWS].astype(np.uint64))
-                bands.append(key.view("i8"))
-            else:
-                for x in (sketches, wholes, bands):
-                    x.append([])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc", "digest", "n", "node", "sketch", "whole", "bands"],
-        )
+def _sketched(percent: int):
+    n_bands, n_rows = band_shape(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (mul, add) = _Words(), _seeds(SAMPLES)
+        step = np.arange(n_bands, dtype=np.uint64)
+        for batch in batches:
+            n, nodes, sketches, wholes, bands = [], [], [], [], []
+            for text in batch.column(2).to_pylist():
+                s = shingle_set(text, known)
+                n.append(len(s))
+                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s):
+                    m = min_hashes(s, mul, add)
+                    sketches.append(odd_sketch(m))
+                    wholes.append(parity(s, SET_BITS))
+                    key = step
+                    for r in range(n_rows):
+                        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[r * n_bands : (r + 1) * n_bands].astype(np.uint64))
+                    bands.append(key.view("i8"))
+                else:
+                    for x in (sketches, wholes, bands):
+                        x.append([])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(nodes, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, wholes, bands))],
+                names=["doc", "digest", "n", "node", "sketch", "whole", "bands"],
+            )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,75 +177,162 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def sketch_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(F.col(key).cast("long").alias("doc"), digest.alias("digest"), F.col(text).alias("text")).mapInArrow(_sketched, SKETCHES)
+def _text_digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
 
+# --- classes
 
-def spread_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each connected component, for all nodes of ``edges`` (a, b).
 
-    Alternating star contraction: every node links its larger, then its smaller neighbours to its
-    least one, until each component is a star; the rounds grow with the logarithm of the graph.
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the nodes that aren't the least of their class, from all links at once."""
+    a, b = [], []
+    for batch in batches:
+        a += batch.column(0).to_pylist()
+        b += batch.column(1).to_pylist()
+    ids = sorted({*a, *b})
+    place = {x: i for i, x in enumerate(ids)}
+    x, y = (np.fromiter(map(place.__getitem__, v), np.int64, len(v)) for v in (a, b))
+    root = np.arange(len(ids))
+    while (apart := root[x] != root[y]).any():
+        rx, ry = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while ((up := root[root]) != root).any():
+            root = up
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in moved], pa.binary()), pa.array([ids[i] for i in root[moved]], pa.binary())], names=["node", "label"])
+
+
+def spread_labels(edges: DataFrame, in_task: int = TASK_LINKS) -> DataFrame:
+    """(node, label): the least node of its component, for the nodes of ``edges`` (a, b) that aren't it.
+
+    Up to ``in_task`` links go to one task. Beyond that, alternating star contraction: every node
+    links its larger, then its smaller neighbours to its least one, until each component is a
+    star; the rounds grow with the logarithm of the graph.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    if edges.count() <= in_task:
+        return edges.select("a", "b").repartition(1).mapInArrow(_merged, "node binary, label binary")
+    now = T.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     while True:
         # large star: every neighbour above a node moves to the least of the node and its neighbours
         ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ways.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = T.stored(T.spread_join(ways, least, "a", F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: a node and its neighbours below move to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        now = T.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        small = T.spread_join(large, least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        before, now = now, T.stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        T.discard(before, large)
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty():
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _attach(pairs: DataFrame, table: DataFrame, side: str, other: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``table`` for the node in column ``side``, named after it."""
+    named = table.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns])
+    return T.spread_join(pairs, named, side, F.col(other), hot=hot.select(F.col("node").alias(side), "splits"))
 
 
-def link_classes(nodes: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame | None:
-    """(node, label) for every node with at least one link; None if there is none. ``nodes``: node, n,
-    sketch, bands and the key of one document with that set; ``docs``: doc, digest, text."""
+def may_link(percent: int) -> Column:
+    """Whether a row (n, sketch, whole) and its pivot can reach ``percent``: by size, by the estimate
+    of their odd sketches, and by the exact bound of their sets' bitmaps."""
+    n, m = F.col("n"), F.col("pivot.n")
+    apart = lambda c: F.aggregate(F.zip_with(c, f"pivot.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (apart("sketch") <= sketch_limit(percent)) & ((100 + percent) * apart("whole") <= (100 - percent) * (n + m))
+
+
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets reach ``percent``."""
+    hot = T.hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    both = _attach(_attach(pairs, sets, "a", "b", hot), sets, "b", "a", hot)
+    sizes = F.size("shingles_a") + F.size("shingles_b")
+    return both.filter((100 + percent) * F.size(F.array_intersect("shingles_a", "shingles_b")) >= percent * sizes).select(*pairs.columns)
+
+
+def _parts(splits: str = "splits") -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(splits) - 1)).alias("part")
+
+
+def candidate_rows(nodes: DataFrame) -> DataFrame | None:
+    """(band, node, part, splits) of the bands that nodes share; a large band's rows in several parts."""
     in_band = nodes.select("node", F.explode("bands").alias("band"))
-    bitmaps = nodes.select("node", "n", "sketch", "whole")  # joined to the rows of open buckets only
-    shared = in_band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-    left = T.stored(in_band.join(shared, "band"))
-    wanted = nodes.join(left.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
-    on_doc = docs["doc"].eqNullSafe(wanted["doc"]) & (docs["digest"] == wanted["digest"])
-    texts = docs.join(wanted, on_doc).select("node", docs["text"])
-    sets = T.stored(texts.dropDuplicates(["node"]).mapInArrow(_sets, "node binary, shingles array<long>"))
-    edges, classes, pivots = None, None, FIRST_PIVOTS
-    full_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    full_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
+    shared = T.stored(in_band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    total = shared.agg(F.sum("size")).first()[0]
+    if not total:
+        return None
+    limit = max(T.HOT_ROWS, total // T.MAX_HOT)
+    spread = shared.select("band", F.ceil(F.col("size") / F.lit(limit)).cast("int").alias("splits"))
+    hot = F.broadcast(spread.filter("splits > 1"))  # MAX_HOT rows at most
+    one = F.coalesce("splits", F.lit(1))
+    dealt = in_band.join(hot, "band", "left").select("band", "node", one.alias("splits"), F.pmod(F.xxhash64("node"), one).cast("int").alias("part"))
+    out = T.stored(dealt.join(spread.select("band", _parts()), ["band", "part"], "left_semi"))
+    T.discard(shared)
+    return out
+
+
+def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame | None:
+    """(node, label) for the nodes that aren't the least of their class; None if no node has links.
+
+    ``nodes``: node, n, sketch, whole, bands; ``sets_of`` gives the shingles of the nodes it is handed.
+    """
+    left = candidate_rows(nodes)
+    if left is None:
+        return None
+    sets = T.stored(sets_of(left.select("node").distinct()))
+    sketches = nodes.select("node", "n", "sketch", "whole")
+    classes, pivots, spent = None, FIRST_PIVOTS, [left]
     while True:
-        labelled = left.withColumn("label", F.col("node")) if classes is None else left.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = left.withColumn("label", F.col("node"))
         if classes is not None:
-            pending = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-            labelled = T.stored(labelled.join(pending, "band"))
-        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = labelled.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "label")).alias("p")).select("band", "p.node", "p.label")
-        chosen = T.stored(chosen.join(bitmaps, "node").select("band", F.struct("node", "label", "n", "sketch", "whole").alias("pivot")))
-        if chosen.isEmpty():
-            break
-        met = labelled.join(bitmaps, "node").join(chosen, "band").filter((F.col("label") != F.col("pivot.label")) & may_link(percent))
-        pairs = met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        both = pairs.join(full_a, "a").join(full_b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
-        links = T.stored(both.filter(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
-        edges = links if edges is None else edges.unionByName(links)
-        classes = spread_labels(edges)
+            labelled = left.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            ends = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("splits").alias("splits"))
+            pending = ends.filter("lo != hi").select("band", _parts())
+            labelled = T.stored(labelled.join(pending, ["band", "part"], "left_semi"))
+            T.discard(*spent)
+            spent = [labelled]
+        turn = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
+        chosen = labelled.groupBy("band", turn.alias("turn")).agg(F.min(F.struct("node", "label")).alias("p"), F.first("splits").alias("splits"))
+        pivot = F.struct(F.col("p.node").alias("node"), F.col("p.label").alias("label"), "n", "sketch", "whole").alias("pivot")
+        chosen = T.stored(chosen.join(sketches, F.col("p.node") == sketches["node"]).select("band", pivot, "splits"))
+        met = labelled.drop("splits").join(sketches, "node").join(chosen.select("band", "pivot", _parts()), ["band", "part"])
+        met = met.filter((F.col("label") != F.col("pivot.label")) & may_link(percent))  # within the join: what it drops is never a row
+        either = lambda x: [F.when(F.col("node") < F.col("pivot.node"), p).otherwise(q) for p, q in ((F.col(x), F.col(f"pivot.{x}")), (F.col(f"pivot.{x}"), F.col(x)))]
+        pairs = T.stored(met.select(*[c.alias(name) for c, name in zip([*either("node"), *either("label")], ["a", "b", "label_a", "label_b"], strict=True)]).distinct())
+        if not pairs.isEmpty():
+            links = T.stored(confirmed_links(pairs, sets, percent).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+            moved = None if links.isEmpty() else T.stored(spread_labels(links))
+            if moved is None:
+                pass
+            elif classes is None:
+                classes = moved
+            else:
+                to = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
+                now = T.spread_join(classes, to, "label", F.col("node"), "left").select("node", F.coalesce("further", "label").alias("label"))
+                before, classes = classes, T.stored(now.unionByName(moved))
+                T.discard(before, moved)
+            T.discard(links)
+        T.discard(pairs)
         left = labelled.drop("label").join(chosen.select("band", F.col("pivot.node").alias("node")), ["band", "node"], "left_anti")
+        spent.append(chosen)
+        if left.isEmpty():
+            break
         pivots *= 32
+    T.discard(sets, *spent)
     return classes
 
 
-def may_link(percent: int) -> Column:
-    """Whether a row (n, sketch, whole) and its pivot can reach ``percent``: by size, by the estimate
-    of the odd sketches, and by the exact bound that the sets' bitmaps give."""
-    apart = lambda c: F.aggregate(F.zip_with(c, f"pivot.{c}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    n, m = F.col("n"), F.col("pivot.n")
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return sizes & ((100 + percent) * apart("whole") <= (100 - percent) * (n + m)) & (apart("sketch") <= sketch_limit(percent))
+#: The order-preserving bytes of a long; a null comes last.
+def _ordered(key: Column) -> Column:
+    bits = F.lpad(F.hex(key.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.when(key.isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), bits)))
+
+
+def _key_of(node: Column) -> Column:
+    bits = F.conv(F.hex(F.substring(node, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", bits.cast("long"))
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -220,34 +341,43 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     Two documents are linked if 100 x shared shingles >= ``percent`` x all their shingles;
     ``component_id`` is the least key that links reach. ``key`` is an integer; equal texts are
     linked, wordless or null texts are linked with nothing, null keys never name a class unless
-    they are alone. Of repeated rows with one key, all are kept or none.
+    they are alone. Of repeated rows with one key, all are kept or none. An empty table stays empty.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
-    all_ = T.stored(rows.select("doc", "digest", "text").mapInArrow(_sketched, SKETCHES))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), _text_digest(text).alias("digest"), F.col(text).alias("text"))
+    all_ = T.stored(rows.mapInArrow(_sketched(percent), SKETCHES))
     some = F.struct("doc", "digest")
-    nodes = T.stored(all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("bands").alias("bands")))
-    nodes = nodes.select("node", "least", "of.doc", "of.digest", "n", "sketch", "whole", "bands")
-    classes = link_classes(nodes, rows, text, percent)
-    labelled = nodes.select("node", "least").withColumn("label", F.col("node"))
-    if classes is not None:
-        labelled = labelled.drop("label").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node = labelled.join(heads, "label").select("node", "component_id")
-    out = all_.select("doc", "digest", "n", "node").join(by_node, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")))
-    return out.select("doc", "digest", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+    firsts = [F.first(c).alias(c) for c in ("n", "sketch", "whole", "bands")]
+    nodes = all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.count("*").alias("copies"), *firsts)
+    node = F.concat(_ordered(F.col("least")), "node")
+    nodes = T.stored(nodes.select(F.col("node").alias("set"), node.alias("node"), "of.doc", "of.digest", "copies", "n", "sketch", "whole", "bands"))
+
+    def sets_of(some_nodes: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "doc", "digest").join(some_nodes, "node", "left_semi")
+        wanted = wanted.select("node", F.struct("doc", "digest").alias("own"))
+        texts = T.spread_join(rows.select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
+        return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>")
+
+    classes = link_classes(nodes.select("node", "n", "sketch", "whole", "bands"), sets_of, percent)
+    ids = nodes.select("set", "node", "copies")
+    ids = ids.withColumn("label", F.col("node")) if classes is None else ids.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ids = ids.select(F.col("set").alias("node"), _key_of(F.col("label")).alias("component_id"))
+    here = all_.select("doc", "digest", "n", "node", F.col("_metadata.row_index").alias("row"))
+    met = T.spread_join(here.filter("node is not null"), ids, "node", F.col("row")).select("doc", "digest", "n", "component_id")
+    alone = here.filter("node is null").select("doc", "digest", "n", F.col("doc").alias("component_id"))
+    return met.unionByName(alone).select("doc", "digest", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one document of each class, the one with the least key; its own columns.
 
-    Of repeated rows with that key and text, one stays.
+    Of repeated rows with that key and text, one stays. A row with a null key stays unless its class
+    has a key. An empty table stays empty.
     """
-    classes = near_duplicate_classes(docs, key, text, percent).filter("kept").select("doc", "digest").distinct()
-    k, g, row = "doc", "digest", F.struct("*").alias("row")
-    rows = docs.select(row, F.col(key).cast("long").alias("own_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own_digest"))
-    met = rows.join(classes, F.col("own_doc").eqNullSafe(F.col(k)) & (F.col("own_digest") == F.col(g)), "left_semi")
-    return met.dropDuplicates(["own_doc", "own_digest"]).select("row.*")
+    own = lambda doc, digest: [doc.isNull().alias("own_null"), F.coalesce(doc, F.lit(0)).alias("own_doc"), digest.alias("own_digest")]
+    keys = ["own_null", "own_doc", "own_digest"]
+    kept = near_duplicate_classes(docs, key, text, percent).filter("kept").select(*own(F.col("doc"), F.col("digest"))).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *own(F.col(key).cast("long"), _text_digest(text)))
+    return rows.dropDuplicates(keys).join(kept, keys, "left_semi").select("row.*")
 
 
 def op9_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

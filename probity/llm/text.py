@@ -6,7 +6,6 @@ Null text has no words. "White" is the ASCII set [\\x20\\x09-\\x0D] everywhere.
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -65,9 +64,9 @@ def crc32_text(value: Column) -> Column:
     return F.crc32(F.encode(value, "utf-8"))
 
 
-def unused(frame: DataFrame, *names: str) -> list[str]:
-    """Column names that ``frame`` doesn't have, derived from ``names`` by underscores."""
-    taken, out = {c.lower() for c in frame.columns}, []
+def unused(frames: DataFrame | list[DataFrame], *names: str) -> list[str]:
+    """Column names that the frames don't have, derived from ``names`` by underscores."""
+    taken, out = {c.lower() for f in (frames if isinstance(frames, list) else [frames]) for c in f.columns}, []
     for name in names:
         while name.lower() in taken:
             name = "_" + name
@@ -81,13 +80,53 @@ def stored(frame: DataFrame) -> DataFrame:
     them back. Lost executors cost no recomputation of what came before."""
     path = f"{checkpoint_dir(frame.sparkSession)}/probity-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables that ``stored`` made, once nothing lazy reads them any more."""
+    for path in (getattr(f, "_stored_at", None) for f in frames if f is not None):
+        if path:
+            remove_folder(next(f for f in frames if f is not None).sparkSession, path)
+
+
+def remove_folder(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpoint_dir(spark) -> str:
-    """The session's shared folder; one of our own only where none is set, as in tests."""
+    """The session's shared folder; where none is set, one in the warehouse, which is shared too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="probity-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/probity-checkpoint-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+#: Rows of one key from which on it is spread over several tasks, and the most keys so treated:
+#: the bound of what ``hot_keys`` broadcasts.
+HOT_ROWS = 256
+MAX_HOT = 20_000
+
+
+def hot_keys(frame: DataFrame, key: str) -> DataFrame:
+    """(key, splits) of the keys that hold many of ``frame``'s rows; at most ``MAX_HOT`` of them."""
+    limit = max(HOT_ROWS, frame.count() // MAX_HOT)
+    counts = frame.groupBy(key).agg(F.count("*").alias("splits")).filter((F.col("splits") > limit) & F.col(key).isNotNull())
+    return F.broadcast(counts.select(key, F.ceil(F.col("splits") / F.lit(limit)).cast("int").alias("splits")))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Joins by ``key``, of which ``right`` holds a row at most, so that no key of ``left`` fills a task.
+
+    Rows of a hot key are dealt by ``by``, and the row of ``right`` goes to each part.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    parts, part = unused([left, right], "hot_parts", "hot_part")
+    hot = hot.select(key, F.col("splits").alias(parts))
+    dealt = left.join(hot, key, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    copies = right.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copies, [key, part], how).drop(part)
