@@ -1,8 +1,8 @@
-"""Elias-Fano coding of increasing 64-bit integers, with vectorised successor search.
+"""Elias-Fano coding of increasing 64-bit integers, with vectorised access and successor search.
 
 The upper bits stand in a unary bit vector (two bits an element at most), the lower bits in a
-packed array. All parts are plain arrays in one buffer, so that a file can be memory-mapped and
-searched in place.
+packed array; a count of zeros stands before each word of the vector. All parts are plain arrays
+in one buffer, so that a file can be memory-mapped and searched in place.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import json
 import numpy as np
 
 U64 = np.uint64
-BLOCK = 8  # words of the unary vector between two zero counts
+EACH_BYTE, HIGH_BITS = U64(0x0101010101010101), U64(0x8080808080808080)
+#: The place of one number r in byte b, at 8 b + r.
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)])
 
 
 def pack(arrays: dict[str, np.ndarray], **head) -> bytes:
@@ -43,33 +45,36 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     low = _pack_low(values, width)
     top = values >> U64(width)
     buckets = (int(universe) >> width) + 1
-    length = n + buckets + 1
-    words = -(-length // (64 * BLOCK)) * BLOCK
+    words = (n + buckets + 1) // 64 + 2
     bits = np.zeros(words * 64, np.uint8)
     bits[(top + np.arange(n, dtype=U64)).astype(np.int64)] = 1
     high = np.packbits(bits, bitorder="little").view(U64)
-    per_block = (64 - np.bitwise_count(high).astype(np.int64)).reshape(-1, BLOCK).sum(axis=1)
-    zeros = np.concatenate([[0], np.cumsum(per_block)[:-1]]).astype(np.int64)
-    return {"low": low, "high": high, "zeros": zeros, "meta": np.array([n, width], np.int64)}
+    zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))[:-1]]).astype(np.int64)
+    return {"low": low, "high": high, "zeros": zeros, "meta": np.array([n, width, buckets], np.int64)}
 
 
 def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
-    parts = []
-    shifts = np.arange(width, dtype=U64)
-    for k in range(0, len(values), 1 << 16):
-        bits = ((values[k : k + (1 << 16), None] >> shifts) & U64(1)).astype(np.uint8).ravel()
-        bits = np.concatenate([bits, np.zeros(-len(bits) % 64, np.uint8)])
-        parts.append(np.packbits(bits, bitorder="little"))
-    return np.concatenate([*parts, np.zeros(16, np.uint8)]).view(U64)
+    """The lower ``width`` bits of each value, one after the other."""
+    out = np.zeros(len(values) * width // 64 + 3, U64)
+    if width and len(values):
+        bit = np.arange(len(values), dtype=np.int64) * width
+        word, off = bit >> 6, (bit & 63).astype(U64)
+        low = values & U64((1 << width) - 1)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # every word has a value that begins in it
+        out[word[first]] = np.bitwise_or.reduceat(low << off, first)
+        over = np.flatnonzero(off + U64(width) > U64(64))
+        out[word[over] + 1] |= low[over] >> (U64(64) - off[over])
+    return out
 
 
 class EliasFano:
-    """Reads what ``encode`` made. ``find`` gives positions of values, -1 where there is none."""
+    """Reads what ``encode`` made. ``get`` gives values by position, ``find`` positions by value."""
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str = "") -> None:
         self.low, self.high, self.zeros = (arrays[prefix + k] for k in ("low", "high", "zeros"))
-        self.n, self.width = map(int, arrays[prefix + "meta"])
+        self.n, self.width, self.buckets = map(int, arrays[prefix + "meta"])
         self.mask = U64((1 << self.width) - 1)
+        self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
 
     def lower(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -79,41 +84,71 @@ class EliasFano:
         left = np.where(off > 0, self.low[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
         return ((self.low[word] >> off) | left) & self.mask
 
-    def select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Bit position of zero number ``k`` (from 0)."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = k - self.zeros[block]
-        words = self.high[(block * BLOCK)[:, None] + np.arange(BLOCK)]
-        counts = np.cumsum(64 - np.bitwise_count(words).astype(np.int64), axis=1)
-        j = np.minimum((counts <= rest[:, None]).sum(axis=1), BLOCK - 1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(j > 0, counts[rows, np.maximum(j - 1, 0)], 0)
-        word, pos = ~words[rows, j], np.zeros(len(k), U64)
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count((word >> pos) & U64((1 << half) - 1)).astype(np.int64)
-            go = rest >= c
-            rest = rest - np.where(go, c, 0)
-            pos = pos + np.where(go, U64(half), U64(0))
-        return (block * BLOCK + j) * 64 + pos.astype(np.int64)
-
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Successor search: the bucket of the upper bits, then a binary search of the lower bits."""
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """Bit position of number ``k`` (from 0) of the ones, or with ``flip`` of the zeros."""
+        at = np.searchsorted(before, k, side="right") - 1
+        rest, word = (k - before[at]).astype(U64), self.high[at]
+        if flip:
+            word = ~word
+        # ones up to each byte of the word, then the byte that holds the one wanted, then its place there
+        sums = word - ((word >> U64(1)) & U64(0x5555555555555555))
+        sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+        sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * EACH_BYTE
+        byte = np.bitwise_count(((rest * EACH_BYTE | HIGH_BITS) - sums) & HIGH_BITS).astype(U64) * U64(8)
+        rest = rest - (((sums << U64(8)) >> byte) & U64(255))
+        return at * 64 + byte.astype(np.int64) + IN_BYTE[((word >> byte) & U64(255)) * U64(8) + rest]
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        at = np.asarray(at, np.int64)
+        top = (self._select(at, self.ones, False) - at).astype(U64)
+        return (top << U64(self.width)) | self.lower(at)
+
+    def get_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at positions (not the last) and at those that follow; the second one comes from
+        the next bit that is set."""
+        at = np.asarray(at, np.int64)
+        place = self._select(at, self.ones, False)
+        bits = self._bits_from(place + 1)
+        after = place + 1 + np.bitwise_count((bits & (~bits + U64(1))) - U64(1)).astype(np.int64)
+        if (far := np.flatnonzero(bits == 0)).size:
+            after[far] = self._select(at[far] + 1, self.ones, False)
+        width = U64(self.width)
+        return ((place - at).astype(U64) << width) | self.lower(at), ((after - at - 1).astype(U64) << width) | self.lower(at + 1)
+
+    def _bits_from(self, place: np.ndarray) -> np.ndarray:
+        """64 bits of the unary vector from each place on."""
+        word, off = place >> 6, (place & 63).astype(U64)
+        return (self.high[word] >> off) | np.where(off > 0, self.high[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
+
+    def find(self, values: np.ndarray, first: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
+        """Positions of ``values`` (-1: none) among those from ``first`` up to ``end``.
+
+        Successor search: the run of ones that the upper bits name, cut to that range, then a
+        binary search of the lower bits.
+        """
         x = np.asarray(values, U64)
         out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
-            return out
         top, low = (x >> U64(self.width)).astype(np.int64), x & self.mask
-        end = self.select_zero(top) - top
-        lo = np.where(top > 0, self.select_zero(np.maximum(top - 1, 0)) - np.maximum(top - 1, 0), 0)
-        hi = end.copy()
-        live = np.flatnonzero(lo < hi)
+        inside = (top >= 0) & (top < self.buckets)
+        if not self.n or not inside.any():
+            return out
+        top = np.where(inside, top, 0)
+        start = np.where(top > 0, self._select(np.maximum(top - 1, 0), self.zeros, True) + 1, 0)
+        lo = start - top
+        bits = ~self._bits_from(start)
+        hi = lo + np.bitwise_count((bits & (~bits + U64(1))) - U64(1)).astype(np.int64)
+        if (long := np.flatnonzero(bits == 0)).size:
+            hi[long] = self._select(top[long], self.zeros, True) - top[long]
+        lo, hi = np.maximum(lo, first), np.minimum(hi, self.n if end is None else end)
+        stop = hi.copy()
+        live = np.flatnonzero((lo < hi) & inside)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
             less = self.lower(mid) < low[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
-        some = np.flatnonzero(lo < end)
+        some = np.flatnonzero((lo < stop) & inside)
         hit = self.lower(lo[some]) == low[some]
         out[some[hit]] = lo[some[hit]]
         return out
