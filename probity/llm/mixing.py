@@ -8,7 +8,8 @@ less than one block off its target.
 Windows follow from the exact weights, not from rounded shares, so that drift stays below one block
 however long the input. The driver gives every block its slot, for one set of live sources after
 the other (when a source runs out, the others share in proportion); documents meet their blocks in
-parallel. The driver's work and the broadcast plan grow with the number of blocks.
+parallel. Blocks grow with the input once there would be more than ``MAX_BLOCKS``, which bounds the
+driver's work and the plan that is broadcast; so do the chunks in which sources are summed.
 """
 
 from __future__ import annotations
@@ -24,26 +25,12 @@ from pyspark.sql import functions as F
 from probity.llm import text as T
 
 BLOCK_BYTES = 64 * 1024
-PERIOD = 1000
-CHUNKS = 64
+#: Bounds of the plan (blocks and one more a source), of the sums by chunk, and of the sources.
+MAX_BLOCKS = 500_000
+CHUNK_ROWS = 1_000
+MAX_CHUNKS = 500_000
+MAX_SOURCES = 100_000
 PLAN_ROW = 4096  # blocks in a row of the plan, before it is exploded
-MAX_SOURCES = 10_000
-
-
-def integer_weights(weights: Mapping, period: int = PERIOD) -> dict:
-    """Largest-remainder shares of a period; every live source gets one slot at least."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    k = 0
-    while sum(out.values()) < period:
-        out[by_rest[k % len(by_rest)]] += 1
-        k += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1e9, str(s)))] -= 1
-    return out
 
 
 def exact_weights(weights: Mapping) -> dict:
@@ -53,16 +40,14 @@ def exact_weights(weights: Mapping) -> dict:
     return {s: int(w * scale) for s, w in exact.items()}
 
 
-def edf_period(shares: Mapping, blocks: Mapping | None = None) -> dict:
-    """Slots of each source's blocks in one period, earliest deadline first; ties by share, then name.
-
-    With ``blocks``, up to the slot in which the first source has placed all its blocks.
-    """
+def edf_slots(shares: Mapping, blocks: Mapping) -> dict:
+    """Slots of each source's blocks, earliest deadline first (ties by share, then name), up to the
+    slot in which the first source has placed all its blocks."""
     period, done, slots = sum(shares.values()), dict.fromkeys(shares, 0), {s: [] for s in shares}
     waiting = [(0, str(s), s) for s in shares]
     heapq.heapify(waiting)
     ready: list = []
-    for t in range(period if blocks is None else sum(blocks[s] for s in shares)):
+    for t in range(sum(blocks[s] for s in shares)):
         while waiting and waiting[0][0] <= t:
             _, _, s = heapq.heappop(waiting)
             due = -(-(done[s] + 1) * period // shares[s])
@@ -70,22 +55,20 @@ def edf_period(shares: Mapping, blocks: Mapping | None = None) -> dict:
         _, _, _, s = heapq.heappop(ready)
         slots[s].append(t)
         done[s] += 1
-        if blocks is not None and done[s] == blocks[s]:
+        if done[s] == blocks[s]:
             break
-        if blocks is not None or done[s] < shares[s]:
-            heapq.heappush(waiting, (done[s] * period // shares[s], str(s), s))
+        heapq.heappush(waiting, (done[s] * period // shares[s], str(s), s))
     return slots
 
 
-def plan_phases(blocks: Mapping, weights: Mapping, period: int | None = None) -> list[tuple]:
+def plan_phases(blocks: Mapping, weights: Mapping) -> list[tuple]:
     """(source, phase, first block, end block, blocks, start slot, slots in the phase, slots, share)
-    for all sources. With ``period``, weights are rounded to its parts first. Sources of weight 0
-    come when the others have run out."""
+    for all sources. Sources of weight 0 come when the others have run out."""
     left, used, start, phase, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0, []
     while left:
         live = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
-        shares = exact_weights(live) if period is None else integer_weights(live, period)
-        slots, size = edf_period(shares, left), sum(shares.values())
+        shares = exact_weights(live)
+        slots, size = edf_slots(shares, left), sum(shares.values())
         end = sum(map(len, slots.values()))
         for s, own in slots.items():
             n = len(own)
@@ -99,38 +82,45 @@ def plan_phases(blocks: Mapping, weights: Mapping, period: int | None = None) ->
 
 
 def mix_sources(docs: DataFrame, order: list[Column], chunk_key: Column, source: str = "source", cost: Column | None = None, block_cost: int = 1, weights: Mapping | None = None, temperature: float = 0.5) -> DataFrame:
-    """``docs`` with mix_block, mix_phase, mix_slot and mix_weight (the share in force).
+    """``docs`` with mix_block, mix_phase, mix_slot, mix_weight (the share in force) and mix_rank (the
+    place within the source).
 
     A source's documents are laid end to end (by hash chunk, then ``order``) and cut in blocks of
-    ``block_cost``; a document belongs to the block it starts in. ``weights`` default to each
-    source's total cost to the power ``temperature``. A null source is a source of its own; null
-    texts cost what ``cost`` says; sources that ``weights`` doesn't name are refused. No document
-    is dropped or repeated. An empty table stays empty.
+    ``block_cost``, or more if that made over ``MAX_BLOCKS``; a document belongs to the block it
+    starts in. ``weights`` default to each source's total cost to the power ``temperature``. A null
+    source is a source of its own; null texts cost what ``cost`` says; sources that ``weights``
+    doesn't name, or over ``MAX_SOURCES`` of them, are refused with an error. No document is dropped
+    or repeated. An empty table stays empty. Where ``docs`` has a column of an added name, the added
+    one gets an underscore in front.
     """
     spark = docs.sparkSession
-    chunk, price, run, before, key = T.unused(docs, "mix_chunk", "mix_cost", "mix_run", "mix_before", "mix_source")
+    added = T.unused(docs, "mix_block", "mix_phase", "mix_slot", "mix_weight", "mix_rank")
+    block, phase, slot, weight, rank = added
+    chunk, price, run, before, key, chunks, last = T.unused(docs, "mix_chunk", "mix_cost", "mix_run", "mix_before", "mix_source", "mix_chunks", "mix_last")
     label = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    base = docs.withColumns({key: label, chunk: F.pmod(chunk_key, F.lit(CHUNKS)).cast("int"), price: (F.lit(1) if cost is None else cost).cast("long")})
-    sums = T.stored(base.groupBy(key, chunk).agg(F.sum(price).alias(run)))
-    totals = sums.groupBy(key).agg(F.sum(run).alias("n")).limit(MAX_SOURCES + 1).collect()
+    base = docs.withColumns({key: label, price: (F.lit(1) if cost is None else cost).cast("long")})
+    totals = base.groupBy(key).agg(F.sum(price).alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     sizes = {r[key]: r["n"] for r in totals}
+    block_cost = max(block_cost, -(-sum(sizes.values()) // MAX_BLOCKS))
+    chunk_rows = max(CHUNK_ROWS, sum(r["rows"] for r in totals) // MAX_CHUNKS)
     target = {s: float(n or 1) ** temperature for s, n in sizes.items()} if weights is None else {s: weights[None if s == "" else s[1:]] for s in sizes}
     blocks = {s: max(1, -(-n // block_cost)) for s, n in sizes.items()}
-    phases = plan_phases(blocks, target)
-    rows = [(q, phase, first + k, start, slots[k : k + PLAN_ROW], share) for q, phase, first, _, _, start, _, slots, share in phases for k in range(0, len(slots), PLAN_ROW)]
-    parts = spark.createDataFrame(rows, f"`{key}` string, mix_phase int, mix_first long, mix_start long, mix_slots array<bigint>, mix_weight double")
-    plan = parts.select(key, "mix_phase", "mix_first", "mix_start", "mix_weight", F.posexplode("mix_slots").alias("mix_at", "mix_slot"))
-    plan = plan.select(key, (F.col("mix_first") + F.col("mix_at")).alias("mix_block"), "mix_phase", (F.col("mix_start") + F.col("mix_slot")).alias("mix_slot"), "mix_weight")
-    ends = spark.createDataFrame([(q, n - 1) for q, n in blocks.items()], f"`{key}` string, mix_last long")
+    rows = [(q, ph, first + k, start, slots[k : k + PLAN_ROW], share) for q, ph, first, _, _, start, _, slots, share in plan_phases(blocks, target) for k in range(0, len(slots), PLAN_ROW)]
+    parts = spark.createDataFrame(rows, "source string, phase int, first long, start long, slots array<bigint>, weight double")
+    plan = parts.select("source", "phase", "first", "start", "weight", F.posexplode("slots").alias("at", "slot"))
+    plan = plan.select(F.col("source").alias(key), (F.col("first") + F.col("at")).alias(block), F.col("phase").alias(phase), (F.col("start") + F.col("slot")).alias(slot), F.col("weight").alias(weight))
+    each = spark.createDataFrame([(r[key], -(-r["rows"] // chunk_rows), blocks[r[key]] - 1) for r in totals], f"`{key}` string, `{chunks}` int, `{last}` long")
+    base = base.join(F.broadcast(each), key).withColumn(chunk, F.pmod(chunk_key, F.col(chunks)).cast("int"))
+    sums = T.stored(base.groupBy(key, chunk).agg(F.sum(price).alias(run)))
     ahead = F.coalesce(F.sum(run).over(Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(key, chunk, ahead.alias(before)).join(F.broadcast(ends), key)  # chunks x sources rows at most
+    offsets = sums.select(key, chunk, ahead.alias(before))  # MAX_CHUNKS rows and one a source at most
     within = F.coalesce(F.sum(price).over(Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = base.withColumn(run, within).join(F.broadcast(offsets), [key, chunk])
-    out = out.withColumn("mix_block", F.floor((F.col(before) + F.col(run)) / F.lit(block_cost)).cast("long"))
-    out = out.withColumn("mix_block", F.least("mix_block", "mix_last")).join(F.broadcast(plan), [key, "mix_block"])
-    return out.withColumn("mix_rank", F.col(before) + F.col(run)).drop(key, chunk, price, run, before, "mix_last")
+    out = out.withColumn(rank, F.col(before) + F.col(run))
+    out = out.withColumn(block, F.least(F.floor(F.col(rank) / F.lit(block_cost)).cast("long"), F.col(last))).join(F.broadcast(plan), [key, block])
+    return out.select(*docs.columns, *added)
 
 
 def mixed_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
