@@ -9,13 +9,15 @@
    (pyahocorasick), and streams all contexts through it to locate every occurrence.
 4. The covered places of a document come together and its words are cut.
 
-An anchor in a large part of all documents would fill one shard. Anchors over ``HOT`` occurrences
-are therefore spread by single windows: window counts come from an aggregate that combines on the
-map side, and each occurrence travels with its count to any shard.
+An anchor in a large part of all documents would fill one shard. Of anchors over ``HOT`` occurrences
+the windows are therefore counted by fingerprint (128 bits), in an aggregate that combines on the
+map side and without their words; each context then goes to any shard, with its own recurring
+windows. Frequent anchors, windows and copies are dealt over several tasks wherever they are joined.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -80,11 +82,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["doc", "digest", "anchors"])
 
 
-CONTEXTS = "doc long, digest long, anchor long, window long, start int, context string, first int, last int"
+CONTEXTS = "doc long, digest long, anchor long, start int, context string, windows int, prints array<binary>"
 
 
 def _contexts(hot_from: int):
-    """Around each recurring anchor, the words its windows cover; windows of hot anchors singly."""
+    """Around each recurring anchor, the words its windows cover; of hot anchors also the windows' prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -102,12 +104,8 @@ def _contexts(hot_from: int):
                     n = counts.get(anchor, 0)
                     if n < 2:
                         continue
-                    if n < hot_from:
-                        rows.append((doc, digest, anchor, None, int(a), b" ".join(words[a : b + WINDOW - 1]).decode(), 0, int(b - a)))
-                        continue
-                    for k in range(a, b):
-                        window = b" ".join(words[k : k + WINDOW])
-                        rows.append((doc, digest, anchor, xxhash.xxh3_64_intdigest(window) - (1 << 63), int(k), window.decode(), 0, 1))
+                    prints = None if n < hot_from else [xxhash.xxh3_128_digest(b" ".join(words[k : k + WINDOW])) for k in range(a, b)]
+                    rows.append((doc, digest, anchor, int(a), b" ".join(words[a : b + WINDOW - 1]).decode(), int(b - a), prints))
                 if len(rows) > 4000:
                     yield _batch(rows)
                     rows = []
@@ -118,8 +116,8 @@ def _contexts(hot_from: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-    names = ["doc", "digest", "anchor", "window", "start", "context", "first", "last"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.binary())]
+    names = ["doc", "digest", "anchor", "start", "context", "windows", "prints"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -158,9 +156,9 @@ def covered(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def locate(contexts: list[str], windows: list[int], known: list[int | None]) -> list[list[tuple[int, int]]]:
-    """Covered places (in words) of each context: windows that recur among the contexts, or whose
-    count is known to be over 1, become passages; an automaton finds every occurrence."""
+def locate(contexts: list[str], windows: list[int], known: list[list[int] | None]) -> list[list[tuple[int, int]]]:
+    """Covered places (in words) of each context: windows that recur among the contexts, or are known
+    to recur, become passages; an automaton finds every occurrence."""
     coder = PhraseAutomaton()
     coded = [coder.encode(c.split(" ")) for c in contexts]
     count: Counter = Counter()
@@ -169,17 +167,12 @@ def locate(contexts: list[str], windows: list[int], known: list[int | None]) ->
             count.update(c[i : i + WINDOW] for i in range(n))
     passages = set()
     for c, n, k in zip(coded, windows, known, strict=True):
-        if k is not None:
-            if k > 1:
-                passages.add(c)
-            continue
+        recurring = [i for i in range(n) if count[c[i : i + WINDOW]] > 1] if k is None else k
         start = None
-        for i in range(n + 1):
-            recurs = i < n and count[c[i : i + WINDOW]] > 1
-            if recurs and start is None:
-                start = i
-            elif not recurs and start is not None:
-                passages.add(c[start : i - 1 + WINDOW])
+        for i, following in itertools.zip_longest(recurring, recurring[1:]):
+            start = i if start is None else start
+            if following != i + 1:
+                passages.add(c[start : i + WINDOW])
                 start = None
     if not passages:
         return [[] for _ in coded]
@@ -189,8 +182,8 @@ def locate(contexts: list[str], windows: list[int], known: list[int | None]) ->
 
 def _shard(frames: pd.DataFrame) -> pd.DataFrame:
     """All contexts of one shard."""
-    known = [None if pd.isna(k) else int(k) for k in frames["known"]]
-    found = locate(frames["context"].tolist(), frames["last"].tolist(), known)
+    known = [None if k is None else list(k) for k in frames["known"]]
+    found = locate(frames["context"].tolist(), frames["windows"].tolist(), known)
     rows = [(doc, digest, start + a, start + b) for doc, digest, start, places in zip(frames["doc"].astype(object).where(frames["doc"].notna(), None), frames["digest"], frames["start"], found, strict=True) for a, b in places]
     out = pd.DataFrame(rows, columns=["doc", "digest", "from", "to"])
     out["doc"] = out["doc"].astype("Int64")
@@ -204,20 +197,26 @@ def recurring_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     held = T.stored(rows.mapInArrow(_anchors, "doc long, digest long, anchors array<long>"))
     each = held.select("doc", "digest", F.explode("anchors").alias("anchor"))
     counts = T.stored(each.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    volume = counts.agg(F.sum(F.when(F.col("n") < HOT, F.col("n"))).alias("plain"), F.sum(F.when(F.col("n") >= HOT, F.col("n"))).alias("hot")).first()
-    met = each.join(counts, "anchor").groupBy("doc", "digest").agg(F.collect_set(F.struct("anchor", "n")).alias("recurring"))
+    volume = counts.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") < HOT, F.col("n"))).alias("plain"), F.sum(F.when(F.col("n") >= HOT, F.col("n"))).alias("hot")).first()
+    limit = max(T.HOT_ROWS, int(volume["all"] or 0) // T.MAX_HOT)
+    often = F.broadcast(counts.filter(F.col("n") > limit).select("anchor", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("splits")))  # MAX_HOT rows at most
+    met = T.spread_join(each, counts, "anchor", F.struct("doc", "digest"), hot=often).groupBy("doc", "digest").agg(F.collect_set(F.struct("anchor", "n")).alias("recurring"))
     d, g = met["doc"], met["digest"]
     with_text = rows.join(met, rows["doc"].eqNullSafe(d) & (rows["digest"] == g)).select(rows["doc"], rows["digest"], "text", "recurring")
     contexts = T.stored(with_text.mapInArrow(_contexts(HOT), CONTEXTS))
+    T.discard(held, counts)
     shards = max(1, -(-int(volume["plain"] or 0) // SHARD_CONTEXTS))
-    hot_shards = max(1, -(-int(volume["hot"] or 0) * SPAN // SHARD_CONTEXTS))
-    plain = contexts.filter("window is null").withColumn("known", F.lit(None).cast("long")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    hot = contexts.filter("window is not null")
-    window_counts = hot.groupBy("window").agg(F.count("*").alias("known"))
-    spread = F.pmod(F.xxhash64("window", "doc", "digest", "start"), F.lit(hot_shards))
-    hot = hot.join(window_counts, "window").filter("known > 1").withColumn("shard", F.lit(shards) + spread)
-    names = ["shard", "doc", "digest", "start", "context", "last", "known"]
-    placed = plain.select(names).unionByName(hot.select(names))
+    plain = contexts.filter("prints is null").withColumns({"known": F.lit(None).cast("array<int>"), "shard": F.pmod(F.xxhash64("anchor"), F.lit(shards))})
+    names = ["shard", "doc", "digest", "start", "context", "windows", "known"]
+    placed = plain.select(names)
+    if volume["hot"]:
+        hot_shards = -(-int(volume["hot"]) // SHARD_CONTEXTS)
+        hot = contexts.filter("prints is not null").withColumn("own", F.struct("digest", "start"))  # equal texts have equal windows
+        single = T.stored(hot.select("own", "doc", F.posexplode("prints").alias("i", "print")))
+        again = single.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+        places = T.spread_join(single, again, "print", F.struct("own", "doc")).groupBy("own").agg(F.sort_array(F.collect_set("i")).alias("known"))
+        hot = T.spread_join(hot, places, "own", F.struct("doc", "anchor")).withColumn("shard", F.lit(shards) + F.pmod(F.xxhash64("doc", "digest", "start"), F.lit(hot_shards)))
+        placed = placed.unionByName(hot.select(names))
     found = placed.groupBy("shard").applyInPandas(_shard, "doc long, digest long, `from` int, `to` int")
     return found.groupBy("doc", "digest").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
 
@@ -241,14 +240,16 @@ def cut_words(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text; every row counts as a text of its own, so
-    repeated rows lose all their windows. Added names must be free."""
+    repeated rows lose all their windows. Null and empty texts have no words; an empty table stays
+    empty. Where ``docs`` has a column of an added name, the added one gets an underscore in front."""
     places = recurring_places(docs, key, text)
     d, g, s, cut = T.unused(docs, "place_doc", "place_digest", "place_spans", "place_cut")
+    added = T.unused(docs, "n_words", "n_removed", "kept_text")
     side = places.select(F.col("doc").alias(d), F.col("digest").alias(g), F.col("spans").alias(s))
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.join(side, F.col(key).cast("long").eqNullSafe(F.col(d)) & (digest == F.col(g)), "left")
     out = out.withColumn(cut, cut_words(F.col(text), F.col(s)))
-    return out.select(*docs.columns, f"{cut}.*")
+    return out.select(*docs.columns, *[F.col(f"{cut}.{n}").alias(name) for n, name in zip(("n_words", "n_removed", "kept_text"), added, strict=True)])
 
 
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
