@@ -19,7 +19,7 @@ from probity.llm import text as T
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Largest number of test windows carried in the plan (about 100 bytes each).
+#: Largest number of test windows, counted once an item, carried in the plan (about 100 bytes each).
 MAX_LOCAL_WINDOWS = 200_000
 
 
@@ -65,9 +65,16 @@ def find_hits(docs: DataFrame, windows: DataFrame, text: str = "text", max_local
     """``docs`` with n_words, hits (pos, len, items; by position), n_hit, items and contaminated.
 
     Null, empty and wordless texts have no words and no hits; repeated rows are decided alike.
-    Without any window, nothing is hit. The added names must be free in ``docs``.
+    Without any window, nothing is hit; an empty table stays empty. Where ``docs`` has a column of
+    an added name, the added one gets an underscore in front.
     """
-    by_length = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    names = ["n_words", "hits", "n_hit", "items", "contaminated"]
+    free = T.unused(docs, *names)
+    if free != names:  # the names of the input step aside while the work is done
+        (row,) = T.unused(docs, "input_row")
+        inner = find_hits(docs.select(F.struct("*").alias(row), F.col(text).alias("text")), windows, "text", max_local, window)
+        return inner.select(f"{row}.*", *[F.col(n).alias(f) for n, f in zip(names, free, strict=True)])
+    by_length = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.sum(F.size("items")).alias("c")).collect()}
     lengths = sorted(by_length)
     scan, exact = T.unused(docs, "scan_words", "exact_words")
     out = docs.withColumn(scan, scan_words(F.col(text))).withColumn("n_words", F.size(scan).cast("long"))
@@ -120,17 +127,27 @@ def _verify(full: Column, n: int, exact: str, length: int):
 
 
 def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, scan: str) -> DataFrame:
-    """For test sets of any size: windows meet by fingerprint in a shuffled join, and each text's
-    hits come back by the text's digest (equal texts have equal hits)."""
+    """For test sets of any size: fingerprints of the windows of each distinct text meet those of the
+    test set, frequent ones over several tasks; no words travel before that. What meets is verified
+    word by word with its text, and hits come back by the text's digest."""
     (key,) = T.unused(docs, "text_key")
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    exact = keyed.select(F.col(key).alias("k"), F.col(scan).alias("scan"), exact_words(F.col(text)).alias("exact"))
+    texts = T.stored(keyed.select(F.col(key).alias("k"), F.col(text).alias("text")).dropDuplicates(["k"]))
     names = {k: f"h{k}" for k in lengths}
-    hashed = T.with_window_hashes(exact, "scan", names)
+    hashed = T.with_window_hashes(texts.select("k", scan_words(F.col("text")).alias("scan")), "scan", names)
     runs = F.flatten(F.array(*[_tagged(name, k) for k, name in names.items()]))
-    spread = hashed.select("k", "exact", F.explode(runs).alias("r")).select("k", "r.h", "r.n", "r.pos", F.array_join(F.slice("exact", F.col("r.pos") + 1, F.col("r.n")), " ").alias("t"))
-    met = spread.join(windows, ["h", "n", "t"]).select("k", F.struct("pos", F.col("n").alias("len"), "items").alias("hit"))
-    per_text = met.groupBy(F.col("k").alias(key)).agg(F.sort_array(F.collect_set("hit")).alias("hits"))
+    placed = T.stored(hashed.select("k", F.explode(runs).alias("r")).select("k", F.xxhash64("r.h", "r.n").alias("w"), "r.n", "r.pos"))
+    known = windows.groupBy(F.xxhash64("h", "n").alias("w")).agg(F.collect_list(F.struct("n", "t", "items")).alias("same"))
+    met = T.spread_join(placed, known, "w", F.xxhash64("k", "pos"))
+    met = met.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "same"))).alias("met"))
+    both = met.join(texts, "k").withColumn("exact", exact_words(F.col("text")))
+
+    def check(x: Column) -> Column:
+        words = F.array_join(F.slice(F.col("exact"), x["pos"] + 1, x["n"]), " ")
+        same = F.filter(x["same"], lambda e: (e["n"] == x["n"]) & (e["t"] == words))
+        return F.struct(x["pos"].alias("pos"), x["n"].alias("len"), F.get(same, 0)["items"].alias("items"))
+
+    per_text = both.select(F.col("k").alias(key), F.filter(F.transform("met", check), lambda x: x["items"].isNotNull()).alias("hits"))
     empty = F.array().cast("array<struct<pos:int,len:int,items:array<string>>>")
     return keyed.join(per_text, key, "left").withColumn("hits", F.coalesce("hits", empty)).drop(key, scan)
 

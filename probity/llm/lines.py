@@ -129,18 +129,31 @@ def _kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     return pd.Series([one(t, b) for t, b in zip(text, bitmap, strict=True)], dtype=object)
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept_text") -> DataFrame:
-    """``docs`` with the text that its bitmaps keep, and n_dropped."""
+@F.pandas_udf(StringType())
+def bitmap_bits(bitmap: pd.Series, n: pd.Series) -> pd.Series:
+    """A bitmap's bits as zeros and ones; all ones where there is no bitmap."""
+    one = lambda b, count: "1" * count if b is None else "".join(map(str, np.unpackbits(np.frombuffer(zlib.decompress(b), "u1"), count=count)))
+    return pd.Series([one(b, c) for b, c in zip(bitmap, n, strict=True)], dtype=object)
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with kept_text (the text that its bitmap keeps), n_dropped and keep_bitmap (null where
+    every line stays).
+
+    Null texts stay null; repeated rows are cut alike; an empty table stays empty. Where ``docs`` has
+    a column of an added name, the added one gets an underscore in front.
+    """
+    kept, dropped, bitmap = T.unused(docs, "kept_text", "n_dropped", "keep_bitmap")
     d, g = T.unused(docs, "line_doc", "line_digest")
-    side = bitmaps.select(F.col("doc").alias(d), F.col("digest").alias(g), "n_dropped", "keep_bitmap")
+    side = bitmaps.select(F.col("doc").alias(d), F.col("digest").alias(g), F.col("n_dropped").alias(dropped), F.col("keep_bitmap").alias(bitmap))
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.join(side, F.col(key).cast("long").eqNullSafe(F.col(d)) & (digest == F.col(g)), "left")
-    out = out.withColumn(kept, F.when(F.col("keep_bitmap").isNull(), F.col(text)).otherwise(_kept_text(F.col(text), "keep_bitmap")))
-    return out.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0))).drop(d, g, "keep_bitmap")
+    cut = F.when(F.col(bitmap).isNull(), F.col(text)).otherwise(_kept_text(F.col(text), bitmap))
+    return out.select(*docs.columns, cut.alias(kept), F.coalesce(dropped, F.lit(0)).alias(dropped), bitmap)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = apply_bitmaps(docs, keep_bitmaps(docs))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    return out.select("doc_id", n_lines.alias("n_lines"), "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    out = apply_bitmaps(docs, keep_bitmaps(docs)).withColumn("n_lines", n_lines)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"), bitmap_bits("keep_bitmap", "n_lines").alias("keep_bits"))

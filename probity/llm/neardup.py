@@ -178,7 +178,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _text_digest(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    """Equal for equal texts; a null isn't an empty text."""
+    return F.xxhash64(F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
 
 
 # --- classes
@@ -354,7 +355,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     def sets_of(some_nodes: DataFrame) -> DataFrame:
         wanted = nodes.select("node", "doc", "digest").join(some_nodes, "node", "left_semi")
         wanted = wanted.select("node", F.struct("doc", "digest").alias("own"))
-        texts = T.spread_join(rows.select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
+        may_be = T.membership_filter(wanted, F.xxhash64("own"))  # most texts have no candidate and stay where they are
+        texts = T.spread_join(rows.filter(may_be(F.xxhash64("doc", "digest"))).select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
         return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>")
 
     classes = link_classes(nodes.select("node", "n", "sketch", "whole", "bands"), sets_of, percent)

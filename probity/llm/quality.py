@@ -21,11 +21,15 @@ MAX_LOST_PERCENT = 50
 STOP_MARK = r"[.,;:!?…。、！？]"
 SYMBOL = r"[#*$%&|<>]"
 DIVIDER = r"[|»›•]"
-#: Menus and notices are short; longer lines are not looked at for their phrases.
-SHORT_LINE = 200
+#: A line is boilerplate if it has one of these phrases for every so many words, however long it is.
+WORDS_A_PHRASE = 30
+#: Phrases of menus and notices in the corpus' languages; a dot stands for a letter with an accent.
 BOILERPLATE = (
     r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|javascript|lorem ipsum|"
-    r"sign (in|up)|log ?in\b|subscribe|click here|read more|share (this|on)|newsletter|powered by|\{|\})"
+    r"sign (in|up)|log ?in\b|subscribe|click here|read more|share (this|on)|newsletter|powered by|\{|\}|"
+    r"politique de confidentialit|tous droits r.serv|lire la suite|cliquez ici|abonnez-vous|mentions l.gales|"
+    r"datenschutzerkl|alle rechte vorbehalten|weiterlesen|hier klicken|impressum|jetzt anmelden|"
+    r"pol.tica de privacidad|derechos reservados|leer m.s\b|haga clic|suscr.b|aviso legal)"
 )
 
 
@@ -50,7 +54,7 @@ def line_failures(line: Column, marked: Column) -> Column:
     return (
         F.when(~has_word(line), F.lit(None).cast("string"))
         .when(marked & F.rlike(line, F.lit(DIVIDER)) & (dividers >= 2) & (dividers * 6 >= words), "navigation")
-        .when((size <= SHORT_LINE) & F.rlike(line, F.lit(BOILERPLATE)), "boilerplate")
+        .when(F.rlike(line, F.lit(BOILERPLATE)) & (F.regexp_count(line, F.lit(BOILERPLATE)) * WORDS_A_PHRASE >= words), "boilerplate")
         .when(marked & F.rlike(line, F.lit(SYMBOL)) & (count_matches(line, SYMBOL) * 10 > size), "symbols")
         .when(marked & F.contains(line, F.lit("!!")) & (upper > 4 * lower), "shouting")
         .when((size >= 60) & ~F.contains(line, F.lit(".")) & ~F.rlike(line, F.lit(STOP_MARK)), "punctuation")
@@ -80,12 +84,15 @@ def clean_lines(frame: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base counts, ``cleaned_text``, ``failed_lines`` (rule and line) and ``kept``.
 
     Null and blank texts have no words and fail the base. Repeated rows are judged alike, each
-    by itself. Input columns must not use the names added here; ``text`` may be any of them.
+    by itself; an empty table stays empty. Where the input has a column of an added name, the added
+    one gets an underscore in front.
     """
     body, words, lines, judged, marked = T.unused(frame, "q_body", "q_words", "q_lines", "q_judged", "q_marked")
+    added = T.unused(frame, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_lines", "cleaned_text", "base_failed", "kept")
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_lines, cleaned_text, base_failed, kept = added
     out = frame.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn(words, T.split_words(F.col(body)))
-    out = with_repeats(out, words, "n_repeat_words")
+    out = with_repeats(out, words, n_repeat_words)
     chars = lambda w: F.length(F.array_join(w, ""))
     out = out.withColumn(lines, F.split(body, "\n"))
     out = out.withColumn(marked, F.rlike(body, F.lit(r"[#*$%&|<>»›•]|!!")))
@@ -93,19 +100,19 @@ def clean_lines(frame: DataFrame, text: str = "text") -> DataFrame:
     worded = F.filter(lines, lambda x: has_word(x))
     out = out.withColumns(
         {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": chars(F.col(words)).cast("long"),
-            "n_symbols": F.when(F.col(marked), count_matches(F.col(body), SYMBOL)).otherwise(0).cast("long"),
+            n_words: F.size(words).cast("long"),
+            word_chars: chars(F.col(words)).cast("long"),
+            n_symbols: F.when(F.col(marked), count_matches(F.col(body), SYMBOL)).otherwise(0).cast("long"),
             lines: worded,
-            "failed_lines": F.filter(judged, lambda x: x["rule"].isNotNull()),
-            "cleaned_text": F.array_join(F.transform(F.filter(judged, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n"),
+            failed_lines: F.filter(judged, lambda x: x["rule"].isNotNull()),
+            cleaned_text: F.array_join(F.transform(F.filter(judged, lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n"),
         }
     )
-    out = out.withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")).drop(words, lines, judged, marked)
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    lost = F.aggregate("failed_lines", F.lit(0).cast("long"), lambda a, x: a + chars(T.split_words(x["line"])))
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * lost <= MAX_LOST_PERCENT * F.col("word_chars")))
-    return out.drop(body)
+    out = out.withColumn(n_dup_lines, (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")).drop(words, lines, judged, marked)
+    out = out.withColumn(base_failed, (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat_words) > MAX_REPEAT_PERCENT * F.col(n_words)))
+    lost = F.aggregate(failed_lines, F.lit(0).cast("long"), lambda a, x: a + chars(T.split_words(x["line"])))
+    out = out.withColumn(kept, ~F.col(base_failed) & (100 * lost <= MAX_LOST_PERCENT * F.col(word_chars)))
+    return out.select(*frame.columns, *added)
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probity.llm import blocks, decontaminate, lines, mixing, neardup, ngrams, phrases, quality, sharding, toxicity
+from probity.llm import blocks, decontaminate, lines, mixing, neardup, ngrams, oracles, phrases, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_rendezvous_sharding": oracles.op4(),
+        "op6_line_quality": oracles.op6(),
+        "op7_line_dedup": oracles.op7(),
+        "op8_decontamination": oracles.op8(),
+    }

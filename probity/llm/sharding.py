@@ -18,8 +18,9 @@ from probity.llm import text as T
 
 MASK = 0xFFFFFFFF
 MULTIPLIER = 0x45D9F3B
-#: Slots are numbered within this many hash ranges of a shard, then shifted by range offsets.
-CHUNKS = 64
+#: Slots are numbered within hash ranges of a shard, then shifted by the ranges' offsets. All shards
+#: have about this many ranges together, which bounds the offsets that are broadcast.
+RANGES = 1 << 16
 SHARDS = 40
 
 
@@ -70,15 +71,19 @@ def rendezvous_shard(frame: DataFrame, key: str, weights: Sequence[float], name:
     return out.drop(h, s)
 
 
-def number_slots(frame: DataFrame, group: str, chunk_key: Column, order: Sequence[Column], name: str = "slot", counted: DataFrame | None = None) -> DataFrame:
-    """Gapless numbers from 0 within each ``group``, without one task per group.
+def chunks_for(groups: int) -> int:
+    return max(1, RANGES // groups)
+
+
+def number_slots(frame: DataFrame, group: str, groups: int, chunk_key: Column, order: Sequence[Column], name: str = "slot", counted: DataFrame | None = None) -> DataFrame:
+    """Gapless numbers from 0 within each of ``groups`` groups, without one task per group.
 
     Rows are numbered within (group, chunk); offsets come from a count per (group, chunk), which
-    has groups x CHUNKS rows at most. ``counted`` may give a cheaper frame with the same groups
-    and chunk key to count from. Order within a group: chunk, then ``order``.
+    has about ``RANGES`` rows (or one a group). ``counted`` may give a cheaper frame with the same
+    groups and chunk key to count from. Order within a group: chunk, then ``order``.
     """
     c, n, off = T.unused(frame, "slot_chunk", "slot_count", "slot_offset")
-    chunk = F.pmod(chunk_key, F.lit(CHUNKS)).cast("int")
+    chunk = F.pmod(chunk_key, F.lit(chunks_for(groups))).cast("int")
     source = (frame if counted is None else counted).select(group, chunk.alias(c))
     counts = source.groupBy(group, c).agg(F.count("*").alias(n))
     before = Window.partitionBy(group).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +111,7 @@ def shard_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", sha
     if not _from_files(docs):
         rows = docs.select(F.col(key).alias("doc_id"), "source", (T.utf8_bytes(F.col(text)) + 16).alias("size"))
         placed = rendezvous_shard(rows, "doc_id", [1.0] * shards)
-        return number_slots(placed, "shard", F.xxhash64("doc_id"), [F.col("doc_id"), F.col("size")]).select("doc_id", "source", "size", "shard", "slot")
+        return number_slots(placed, "shard", shards, key_hash(F.col("doc_id")), [F.col("doc_id"), F.col("size")]).select("doc_id", "source", "size", "shard", "slot")
     rows = docs.select(F.col(key).alias("doc_id"), "source", (T.utf8_bytes(F.col(text)) + 16).alias("size"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     placed = rendezvous_shard(rows, "doc_id", [1.0] * shards)
     counts = placed.groupBy("shard", "file").agg(F.count("*").alias("n"))  # shards x files rows at most
@@ -125,5 +130,5 @@ def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = rendezvous_shard(keyed, "doc_id", weights, grown="grown_shard")
     counted = rendezvous_shard(docs.select("doc_id"), "doc_id", weights)
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    out = number_slots(placed, "shard", F.xxhash64("doc_id"), order, counted=counted)
+    out = number_slots(placed, "shard", SHARDS, key_hash(F.col("doc_id")), order, counted=counted)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

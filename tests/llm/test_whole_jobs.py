@@ -1,6 +1,7 @@
 """Training-data operators do the whole job: cases that a filter, cap or rounding would lose."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -36,6 +37,10 @@ def test_mixing_keeps_to_exact_weights():
         ("<p>One.</p><p>For all x < 5 it holds", ["One.", "For all x < 5 it holds"]),
         ("<p>x < 5 holds <a href", ["x < 5 holds"]),
         ("<p>Article.</p><script>var a = 1;", ["Article."]),
+        ("<p>if 5 < 6 then go on reading", ["if 5 < 6 then go on reading"]),
+        ("<p title=5\" tall>First para text.", ["First para text."]),
+        ("<p title='5 tall>First para text.</p>", ["First para text."]),
+        ("<p>1 < 2</p></ x><p>a </> b</p><!-- c > --><p>d<!e>f</p>", ["1 < 2", "a b", "df"]),
     ],
 )
 def test_pages_arent_cut(page, texts):
@@ -67,4 +72,34 @@ def test_trigram_scores_by_brute_force_and_partitions(spark):
     for parts in (1, 40):
         frame = docs.repartition(parts)
         got = {r.doc_id: r.score for r in ngrams.score(frame, ngrams.train(frame), ["doc_id"]).collect()}
-        assert got == {k: pytest.approx(score(t)) for k, t in enumerate(tokens)}
+        assert got == {k: pytest.approx(score(t), abs=1e-3 * len(t)) for k, t in enumerate(tokens)}
+
+
+def test_frequent_words_are_divided(spark):
+    """A word before half of all tokens fills several shards; scores stay those of the definition."""
+    r = random.Random(7)
+    texts = [" ".join(x for _ in range(40) for x in ("the", f"w{r.randrange(60)}")) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    model = ngrams.train(docs)
+    firsts = Counter(b // model["bases"][-1] for b in model["borders"])
+    assert max(firsts.values()) >= 4
+    tokens = [[*t.split(), " "] for t in texts]
+    one, two, three = Counter(w for t in tokens for w in t), Counter(), Counter()
+    for t in tokens:
+        two.update(zip([" ", *t], t, strict=False))
+        three.update(zip([" ", *t], t, t[1:], strict=False))
+    cut = lambda c: sum(x == 1 for x in c.values()) / sum({1: 1, 2: 2}.get(x, 0) for x in c.values())
+    kinds2, kinds3 = Counter(p[0] for p in two), Counter(p[:2] for p in three)
+    d2, d3 = (cut(c) if 1 in c.values() and 2 in c.values() else 0.5 for c in (two, three))
+    assert model["discounts"] == pytest.approx((d2, d3))
+    for row in ngrams.score(docs, model, ["doc_id"]).collect():
+        t, out = tokens[row.doc_id], 0.0
+        for i, w in enumerate(t):
+            h = t[i - 1] if i else " "
+            p = (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+            p = (max(two[h, w] - d2, 0) + d2 * kinds2[h] * p) / one[h]
+            if i:
+                g = (t[i - 2] if i > 1 else " ", h)
+                p = (max(three[(*g, w)] - d3, 0) + d3 * kinds3[g] * p) / two[g]
+            out += math.log10(p)
+        assert row.score == pytest.approx(out, abs=1e-3 * len(t))
