@@ -57,6 +57,11 @@ def at_least(members: DataFrame, risk: str) -> DataFrame:
     return members.withColumn("rank", rank).filter(F.col("rank") <= {"critical": 0, "high": 1, "medium": 2, "low": 3}.get(risk, 4))
 
 
+def exported_reports(members: DataFrame, reports: DataFrame, risk: str) -> DataFrame:
+    """Papers of at least a risk with their latest report, null where there is none."""
+    return at_least(members, risk).join(latest_per_paper(reports.drop(*[c for c in members.columns if c not in ("paper_id", "created_at")]), "paper_id", "created_at").drop("created_at"), "paper_id", "left")
+
+
 def capped_expansion(links: DataFrame, authors_per_paper: int = 20, papers_per_author: int = 50) -> DataFrame:
     """The first authors of a paper and the first papers of an author."""
     a = F.row_number().over(Window.partitionBy("paper_id").orderBy("author_id"))

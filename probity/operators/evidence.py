@@ -51,9 +51,11 @@ def _figures(findings: DataFrame, weights: dict | None, threshold: float) -> Dat
         F.max((F.col("c") >= 0.5) & heavy & F.col("m").isNotNull()).cast("int").alias("boosts"),
         F.max((F.col("c") >= threshold) & some & F.col("m").isNotNull()).cast("int").alias("flags"),
     )
+    code = F.when(F.col("m").isNotNull(), F.xxhash64("m"))  # numbers keep the aggregate in hash tables
     return by_method.groupBy("paper_id", "fk").agg(
         F.max("sr").alias("ms"), F.sum("cw").alias("cw"), F.sum("sw").alias("sw"), F.sum("k").alias("k"),
         F.sum("boosts").alias("nb"), F.sum("flags").alias("nf"), F.count("m").alias("nm"),
+        F.min(code).alias("m_lo"), F.max(code).alias("m_hi"),
     )
 
 
@@ -69,7 +71,7 @@ def figure_evidence(findings: DataFrame, weights: dict | None = D.WEIGHTS, thres
     return g.select(
         "paper_id", F.col("fk").alias("figure_id"), (F.col("nf") >= 2).alias("converging"), F.col("nf").alias("methods_flagged"),
         F.when(F.col("nf") == 1, F.least(boosted, F.lit(2))).otherwise(boosted).alias("severity_rank"),
-        F.when(F.col("nf") == 1, F.least(conf, F.lit(0.7))).otherwise(conf).alias("confidence"), "cw", "sw", "k",
+        F.when(F.col("nf") == 1, F.least(conf, F.lit(0.7))).otherwise(conf).alias("confidence"), "cw", "sw", "k", "m_lo", "m_hi",
     )
 
 
@@ -81,9 +83,9 @@ def paper_risk(findings: DataFrame, weights: dict | None = D.WEIGHTS, threshold:
         F.count_if((F.col("severity_rank") == 4) & F.col("converging")).alias("ncc"), F.count_if("converging").alias("nc"),
         F.count_if(F.col("methods_flagged") > 0).alias("figures_flagged"), F.count_if(F.col("severity_rank") == 4).alias("critical_count"),
         F.sum("cw").alias("cw"), F.sum("sw").alias("sw"), F.sum("k").alias("total_findings"),
+        F.min("m_lo").alias("m_lo"), F.max("m_hi").alias("m_hi"),
     )
-    methods = _weighted(findings, weights).groupBy("paper_id").agg(F.count_distinct("m").alias("nm"))
-    out = p.join(methods, "paper_id")
+    out = p.withColumn("nm", F.when(F.col("m_lo") < F.col("m_hi"), 2).otherwise(1))  # only whether there are two methods counts
     risk = (
         F.when(F.col("ncc") > 0, "critical")
         .when((F.col("nc") > 0) & (F.col("figures_flagged") >= 2), "high")
