@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.functions import domain as D
-from probity.operators import authors, campaign, evidence, images, scoring, similarity, statistics, text
+from probity.operators import authors, campaign, evidence, images, relations, scoring, similarity, statistics, text
 from probity.plans.views import oracle, view
 
 DIGITS, DISTANCE = 16, 20
@@ -101,6 +101,7 @@ def queries() -> dict:
         "duplicate_values": lambda s, d: statistics.duplicate_cells(v("v_cells")(s, d), "table_id", "cell", "pos"),
         "variance_ratio": lambda s, d: statistics.variance_ratio(v("v_sd_n")(s, d), "table_id"),
         "distribution_fit": lambda s, d: statistics.distribution_fit(v("v_values")(s, d), "group_id", "value"),
+        "exponential_fit": lambda s, d: statistics.distribution_fit(v("v_values")(s, d), "group_id", "value", "expon").select("group_id", "n", "ks", F.round("anderson", 3).alias("anderson"), (F.col("anderson") > F.col("critical")).alias("exceeds")),
         "priority": lambda s, d: prioritised(s, d).select("paper_id", "priority_score"),
         "pending_queue": lambda s, d: campaign.pending_queue(prioritised(s, d), 50).select("paper_id", "priority_score"),
         "auto_risk_score": triage,
@@ -137,12 +138,28 @@ def queries() -> dict:
         "campaign_export": lambda s, d: campaign.at_least(members(s, d), "medium").select("paper_id", "final_risk", "rank"),
         "expansion_caps": lambda s, d: campaign.capped_expansion(links(s, d), 2, 3),
         "matched_scores": lambda s, d: campaign.raise_matched_scores(members(s, d), members(s, d).filter("paper_id % 40 = 1").select(F.col("paper_id").alias("paper_id_a"), (F.col("paper_id") + 1).alias("paper_id_b"))).select("paper_id", "auto_risk_score"),
-        "extract_means": lambda s, d: text.extract_means(v("v_sentences")(s, d).withColumn("text", F.regexp_replace("text", r" \(SD = [^)]*\)", ""))),
-        "extract_mean_sd": lambda s, d: text.extract_mean_sd(v("v_sentences")(s, d)),
-        "extract_tests": lambda s, d: text.extract_tests(v("v_sentences")(s, d)).withColumn("df", F.array_join(F.col("df").cast("array<string>"), ",")),
-        "extract_p_values": lambda s, d: text.extract_p_values(v("v_sentences")(s, d)),
+        "extract_means": lambda s, d: text.extract_means(v("v_sentences")(s, d).withColumn("text", F.regexp_replace("text", r" \(SD = [^)]*\)", ""))).drop("context"),
+        "extract_mean_sd": lambda s, d: text.extract_mean_sd(v("v_sentences")(s, d)).drop("context"),
+        "extract_tests": lambda s, d: text.extract_tests(v("v_sentences")(s, d)).withColumn("df", F.array_join(F.col("df").cast("array<string>"), ",")).drop("context"),
+        "extract_p_values": lambda s, d: text.extract_p_values(v("v_sentences")(s, d)).drop("context"),
+        "statistic_contexts": lambda s, d: text.extract_tests(v("v_sentences")(s, d)).filter("test_type in ('t', 'F')").select("id", "test_type", "context"),
         "extract_decimals": lambda s, d: text.extract_decimals(v("v_sentences")(s, d)).groupBy("id").agg(F.count("*").alias("k"), F.round(F.sum("value"), 4).alias("total")),
         "phrase_hits": lambda s, d: text.phrase_hits(s.read.parquet(f"{d}/documents.parquet"), phrases(s, d), "doc_id"),
+        "phrase_screening": lambda s, d: text.phrase_screening(text.phrase_hits(s.read.parquet(f"{d}/documents.parquet"), phrases(s, d), "doc_id"), "doc_id"),
+        "phrase_contexts": lambda s, d: text.phrase_occurrences(s.read.parquet(f"{d}/documents.parquet"), phrases(s, d), "doc_id"),
+        "sd_ratio": lambda s, d: statistics.variance_ratio(v("v_sd_n")(s, d), "table_id").select("table_id", "k", "ratio"),
+        "large_figures": lambda s, d: relations.large_figures(v("v_figures")(s, d)).select("figure_id", "width", "height"),
+        "blot_figures": lambda s, d: relations.blot_figures(v("v_figures")(s, d)).select("figure_id", "image_type"),
+        "coauthors": lambda s, d: relations.coauthors(links(s, d), people(s, d)).select("of_author", "author_id", F.col("flagged_papers").cast("long").alias("flagged_papers")),
+        "described_matches": lambda s, d: relations.described_matches(all_pairs(s, d), v("v_papers")(s, d), v("v_figures")(s, d)),
+        "labelled_findings": lambda s, d: relations.labelled_findings(findings(s, d), s.createDataFrame([("fig0", "Figure 1"), ("fig1", "Figure 2")], "figure_id string, figure_label string")).select("paper_id", "seq", "figure_id", "figure_label"),
+        "new_members": lambda s, d: relations.new_members(links(s, d).select((F.col("author_id") % 5).alias("campaign_id"), "paper_id"), members(s, d)),
+        "upserted_papers": lambda s, d: relations.upserted_papers(v("v_incoming")(s, d), v("v_papers")(s, d).select(F.col("paper_id").cast("string").alias("id"), "doi"), F.concat(F.lit("new-"), F.coalesce("doi", F.col("row_id").cast("string")))),
+        "status_counts": lambda s, d: relations.status_counts(v("v_papers")(s, d)),
+        "hash_page": lambda s, d: relations.page(hashes(s, d).select("figure_id", "paper_id"), "figure_id", 100),
+        "statistics_summary": lambda s, d: relations.statistics_summary({"means": text.extract_means(v("v_sentences")(s, d)), "tests": text.extract_tests(v("v_sentences")(s, d)), "p_values": text.extract_p_values(v("v_sentences")(s, d)), "decimals": text.extract_decimals(v("v_sentences")(s, d))}, "id"),
+        "grim_rollup": lambda s, d: relations.grim_rollup(mean(s, d).select((F.col("id") % 2000).alias("paper_id"), statistics.grim_consistent(F.col("mean"), F.col("n")).alias("consistent")), "paper_id"),
+        "exported_reports": lambda s, d: campaign.exported_reports(members(s, d), v("v_timeline")(s, d).select((F.col("paper_id") % 9000).alias("paper_id"), F.col("author_id").alias("report_id"), F.col("ts").alias("created_at")), "medium").select("paper_id", "final_risk", "report_id"),
         "image_screening": lambda s, d: images.screen_images(images_from_embeddings(s, d)),
     }
 
@@ -192,8 +209,40 @@ def _confusion_sql(thresholds: str, by: str) -> str:
 HUNDRED = "list_transform(range(0, 101), lambda x: x / CAST(100 AS double))"
 FLAGGED = "final_risk IN ('critical', 'high', 'medium')"
 MATCHED = "SELECT DISTINCT paper_id FROM (SELECT paper_id FROM v_campaign WHERE paper_id % 40 = 1 UNION ALL SELECT paper_id + 1 FROM v_campaign WHERE paper_id % 40 = 1)"
-T3 = r"(?i)t\s*\(\s*(\d+)\s*\)\s*=\s*(-?\d*\.?\d+)(?:\s*,\s*p\s*[<>=]\s*(-?\d*\.?\d+))?"
-F4 = r"(?i)F\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*=\s*(-?\d*\.?\d+)(?:\s*,\s*p\s*[<>=]\s*(-?\d*\.?\d+))?"
+MEASURE, SHARE = r"(-?\d+(?:\.\d+)?)", r"(\.?\d+(?:\.\d+)?)"
+SAID = rf"(?:\s*,\s*p\s*[<>=]\s*{SHARE})?"
+MEANS = rf"(?i)(?:M|mean)\s*=\s*{MEASURE}[\s,;]*[(\[]?\s*N\s*=\s*(\d+)"
+MEAN_SDS = [
+    rf"(?i)(?:M|mean)\s*=\s*{MEASURE}\s*[(\[]\s*(?:SD|s\.d\.)\s*=\s*{MEASURE}\s*[)\]](?:\s*[,;]\s*N\s*=\s*(\d+))?",
+    rf"{MEASURE}\s*±\s*{MEASURE}(?:\s*[(\[]\s*[Nn]\s*=\s*(\d+)\s*[)\]])?",
+    rf"(?i)(?:M|mean)\s*±\s*(?:SD|SE|s\.d\.)\s*[:=]?\s*{MEASURE}\s*±\s*{MEASURE}(?:\s*[(\[,;]\s*N\s*=\s*(\d+))?",
+]
+T3 = rf"(?i)t\s*\(\s*(\d+)\s*\)\s*=\s*{MEASURE}{SAID}"
+F4 = rf"(?i)F\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*=\s*{MEASURE}{SAID}"
+C3 = rf"(?i)(?:chi2|chi-squared?|χ²|χ2)\s*\(\s*(\d+)\s*\)\s*=\s*{MEASURE}{SAID}"
+R2 = rf"(?i)(?:^|[^a-zA-Z])r\s*=\s*(-?\d*\.?\d+){SAID}"
+P2 = rf"(?i)(?:^|[^a-zA-Z])p\s*([<>=])\s*{SHARE}"
+D1 = r"(?:^|[^a-zA-Z0-9.])(-?\d+\.\d+)"
+
+
+STAGE_LIST = "[" + ", ".join(f"'{x}'" for x in D.STAGES) + "]"
+NUMERIC = r"'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
+DUPLICATES = f""", c AS (SELECT table_id, trim(cell) AS cell, pos FROM v_cells WHERE trim(cell) <> ''), p AS (SELECT table_id, cell, count(*) AS k, min(pos) AS first, CASE WHEN regexp_matches(cell, {NUMERIC}) THEN CAST(cell AS double) END AS x FROM c GROUP BY table_id, cell),
+    q AS (SELECT *, coalesce(x = round_even(x, 0) OR (abs(x * 10 - round_even(x * 10, 0)) < CAST(1e-9 AS double) AND CAST(round_even(x * 10, 0) AS bigint) % 5 = 0), false) AS rnd, row_number() OVER (PARTITION BY table_id ORDER BY k DESC, first, cell) AS r FROM p),
+    g AS (SELECT table_id, CAST(sum(k) AS bigint) AS n, CAST(sum(k - 1) AS bigint) AS duplicates, CAST(coalesce(sum(k) FILTER (x IS NOT NULL), 0) AS bigint) AS n_numeric, CAST(coalesce(sum(k) FILTER (rnd), 0) AS bigint) AS n_round, string_agg(cell, ',' ORDER BY r) FILTER (r <= 3) AS most_common FROM q GROUP BY table_id)
+    SELECT *, duplicates / CAST(n AS double) > CAST(0.3 AS double) OR (n_numeric >= 5 AND n_round / CAST(n_numeric AS double) > CAST(0.7 AS double)) AS suspicious FROM g"""
+PHRASES = r"""words AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:4], ' ') AS phrase FROM benchmark), dict AS (SELECT phrase, len(regexp_extract_all(phrase, '[\p{L}\p{N}_]+')) AS n FROM words WHERE phrase <> ''),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+([^\p{L}\p{N}_]*)', 1) AS g FROM documents),
+    runs AS (SELECT doc_id, n, array_to_string(list_transform(range(i, i + n - 1), lambda k: w[k] || g[k]), '') || w[i + n - 1] AS gram FROM (SELECT doc_id, w, g, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM dict))),
+    met AS (SELECT doc_id, phrase FROM runs JOIN dict ON gram = phrase AND runs.n = dict.n)"""
+
+
+def _contexts(pattern: str, kind: str) -> str:
+    """Matches of a pattern with the 80 characters on either side."""
+    pieces, found = f"regexp_split_to_array(text, '{pattern}')", f"regexp_extract_all(text, '{pattern}')"
+    return f"""(SELECT id, '{kind}' AS test_type, trim(right(l, 80) || found[i] || left(r, 80)) AS context FROM (SELECT id, i, found,
+        array_to_string(list_transform(range(1, i), lambda k: pieces[k] || found[k]), '') || pieces[i] AS l, pieces[i + 1] || array_to_string(list_transform(range(i + 1, len(found) + 1), lambda k: found[k] || pieces[k + 1]), '') AS r
+        FROM (SELECT id, pieces, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT id, {pieces} AS pieces, {found} AS found FROM v_sentences))))"""
 
 
 def _each(pattern: str, groups: int, more: str = "") -> str:
@@ -215,6 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "grimmer_bounds": o("v_means", GRIM_BOUNDS),
         "benford": o("v_values", f", {BY_DIGIT}, x AS (SELECT n.group_id, CAST(n.n AS bigint) AS n, n.n * log10(1 + CAST(1 AS double) / k) AS e, coalesce(c.o, 0) AS o FROM n CROSS JOIN (SELECT unnest(range(1, 10)) AS k) LEFT JOIN c ON c.group_id = n.group_id AND c.digit = k) SELECT group_id, n, round(sum((o - e) * (o - e) / e), 6) AS chi_square, sum((o - e) * (o - e) / e) <= CAST(26.12448155837614 AS double) AS conforms FROM x GROUP BY ALL"),
         "terminal_digit": o("v_values", f", d AS (SELECT group_id, {LAST_DIGIT} AS digit FROM (SELECT *, printf('%.15g', abs(value)) AS t FROM v_values)), c AS (SELECT group_id, digit, count(*) AS o FROM d GROUP BY ALL), s AS (SELECT group_id, CAST(sum(o) AS bigint) AS n, sum(o * o) * CAST(10 AS double) / sum(o) - sum(o) AS x FROM c GROUP BY ALL) SELECT group_id, n, round(x, 6) AS chi_square, n >= 10 AND x > CAST(21.665994333461924 AS double) AS suspicious FROM s"),
+        "exponential_fit": o("v_values", ", s AS (SELECT group_id, count(*) AS n, avg(value) AS m, min(value) AS lo, stddev_pop(value) AS s FROM v_values GROUP BY group_id), f AS (SELECT group_id, n, row_number() OVER (PARTITION BY group_id ORDER BY value) AS i, 1 - exp(-(value - lo) / (m - lo)) AS f, 1 - exp(-value / m) AS g FROM v_values JOIN s USING (group_id) WHERE n >= 5 AND s > 0), a AS (SELECT group_id, max(n) AS n, max(greatest(i / CAST(n AS double) - f, f - (i - 1) / CAST(n AS double))) AS ks, -max(n) - sum((2 * i - 1) * ln(greatest(g, CAST(1e-300 AS double))) + (2 * n + 1 - 2 * i) * ln(greatest(1 - g, CAST(1e-300 AS double)))) / max(n) AS anderson FROM f GROUP BY group_id) SELECT group_id, n, round(ks, 6) AS ks, round(round(anderson, 6), 3) AS anderson, anderson > CAST(1.341 AS double) / (1 + CAST(0.6 AS double) / n) AS exceeds FROM a"),
         "priority": o("v_priority", f"SELECT paper_id, {PRIORITY} AS priority_score FROM v_priority"),
         "pending_queue": o("v_priority", f", q AS (SELECT paper_id, {PRIORITY} AS priority_score FROM v_priority WHERE status = 'pending' AND pdf_path IS NOT NULL) SELECT * FROM q ORDER BY priority_score DESC NULLS LAST, paper_id LIMIT 50"),
         "auto_risk_score": o("v_findings", f", kinds AS (SELECT DISTINCT paper_id, method FROM v_findings), p AS (SELECT paper_id, sum({D.case_sql('method', D.AUTO_RISK_WEIGHTS, 0)}) AS p FROM kinds GROUP BY paper_id) SELECT o_orderkey AS paper_id, CAST(least(coalesce(p, 0) + CASE WHEN o_orderkey % 31 = 0 THEN 30 ELSE 0 END + CASE WHEN o_orderkey % 97 = 0 THEN 20 ELSE 0 END + CASE WHEN o_custkey % 50 = 0 THEN 10 ELSE 0 END, 100) AS bigint) AS auto_risk_score FROM orders LEFT JOIN p ON paper_id = o_orderkey"),
@@ -250,9 +300,29 @@ def oracle_sql() -> dict[str, str]:
         "campaign_export": o("v_campaign", "SELECT paper_id, final_risk, CASE final_risk WHEN 'critical' THEN 0 ELSE 1 END AS rank FROM v_campaign WHERE final_risk IN ('critical', 'high', 'medium')"),
         "expansion_caps": o("v_links", ", a AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY author_id) AS ra FROM (SELECT DISTINCT author_id, paper_id FROM v_links)), b AS (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY paper_id) AS rp FROM a WHERE ra <= 2) SELECT author_id, paper_id FROM b WHERE rp <= 3"),
         "matched_scores": o("v_campaign", f"SELECT paper_id, CASE WHEN paper_id IN ({MATCHED}) AND triage_status NOT IN ('llm_queued', 'llm_analyzing', 'complete') THEN least(auto_risk_score + 30, CAST(100 AS double)) ELSE auto_risk_score END AS auto_risk_score FROM v_campaign"),
-        "extract_means": o("v_sentences", r"""SELECT id, CAST(g1 AS double) AS mean, CAST(g2 AS int) AS n FROM (SELECT id, unnest(regexp_extract_all(t, 'M = (-?\d*\.?\d+), N = (\d+)', 1)) AS g1, unnest(regexp_extract_all(t, 'M = (-?\d*\.?\d+), N = (\d+)', 2)) AS g2 FROM (SELECT id, regexp_replace(text, ' \(SD = [^)]*\)', '') AS t FROM v_sentences))"""),
-        "extract_mean_sd": o("v_sentences", r"SELECT id, CAST(g1 AS double) AS mean, CAST(g2 AS double) AS sd, CAST(g3 AS int) AS n FROM " + _each(r"(?i)(?:M|mean)\s*=\s*(-?\d*\.?\d+)\s*\(\s*SD\s*=\s*(-?\d*\.?\d+)\s*\)[\s,;]*N\s*=\s*(\d+)", 3)),
-        "extract_tests": o("v_sentences", f"SELECT id, 't' AS test_type, {num('g2')} AS statistic, g1 AS df, {num('g3')} AS p FROM {_each(T3, 3)} UNION ALL SELECT id, 'F', {num('g3')}, concat(g1, ',', g2), {num('g4')} FROM {_each(F4, 4)}"),
-        "extract_p_values": o("v_sentences", r"SELECT id, g1 AS comparison, CAST(g2 AS double) AS value FROM " + _each(r"(?i)(?:^|[^a-zA-Z])p\s*([<>=])\s*(-?\d*\.?\d+)", 2)),
-        "extract_decimals": o("v_sentences", r"SELECT id, count(*) AS k, round(sum(CAST(g1 AS double)), 4) AS total FROM " + _each(r"(?:^|[^a-zA-Z0-9.])(-?\d+\.\d+)", 1) + " GROUP BY id"),
+        "extract_means": o("v_sentences", f"""SELECT id, CAST(g1 AS double) AS mean, CAST(g2 AS bigint) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '{MEANS}', 1)) AS g1, unnest(regexp_extract_all(t, '{MEANS}', 2)) AS g2 FROM (SELECT id, regexp_replace(text, ' \\(SD = [^)]*\\)', '') AS t FROM v_sentences))"""),
+        "extract_mean_sd": o("v_sentences", " UNION ALL ".join(f"SELECT id, CAST(g1 AS double) AS mean, CAST(g2 AS double) AS sd, coalesce(CAST(nullif(g3, '') AS bigint), 0) AS n FROM {_each(p, 3)}" for p in MEAN_SDS)),
+        "extract_tests": o("v_sentences", f"SELECT id, 't' AS test_type, {num('g2')} AS statistic, g1 AS df, {num('g3')} AS p FROM {_each(T3, 3)} UNION ALL SELECT id, 'F', {num('g3')}, concat(g1, ',', g2), {num('g4')} FROM {_each(F4, 4)} UNION ALL SELECT id, 'chi2', {num('g2')}, g1, {num('g3')} FROM {_each(C3, 3)} UNION ALL SELECT id, 'r', {num('g1')}, '', {num('g2')} FROM {_each(R2, 2)}"),
+        "extract_p_values": o("v_sentences", f"SELECT id, g1 AS comparison, CAST(g2 AS double) AS value FROM {_each(P2, 2)}"),
+        "statistic_contexts": o("v_sentences", f"SELECT * FROM {_contexts(T3, 't')} UNION ALL SELECT * FROM {_contexts(F4, 'F')}"),
+        "extract_decimals": o("v_sentences", f"SELECT id, count(*) AS k, round(sum(CAST(g1 AS double)), 4) AS total FROM {_each(D1, 1)} GROUP BY id"),
+        "duplicate_values": o("v_cells", DUPLICATES),
+        "remaining_stages": o("v_log", f", l AS (SELECT paper_id, max_by(stage, completed_at) AS stage FROM v_log WHERE status = 'completed' GROUP BY paper_id), r AS (SELECT paper_id, {STAGE_LIST} AS names, coalesce(list_position({STAGE_LIST}, stage), 0) AS done FROM l) SELECT paper_id, names[done + 1] AS next_stage, CAST(len(names) - done AS int) AS remaining FROM r"),
+        "exact_hash_index": HASHES + ", h AS (SELECT *, CONCAT(lower(lpad(to_hex(CAST(left(bits, 32) AS bit)::bigint), 8, '0')), lower(lpad(to_hex(CAST(right(bits, 32) AS bit)::bigint), 8, '0'))) AS phash FROM v_bits) SELECT phash, count(*) AS figures, count(DISTINCT paper_id) AS papers, min(figure_id) AS first_figure FROM h GROUP BY phash HAVING count(*) > 1",
+        "hash_clusters": HASHES.replace("WITH ", "WITH RECURSIVE ", 1) + ", ways AS (SELECT figure_id_a AS x, figure_id_b AS y FROM v_pairs UNION SELECT figure_id_b, figure_id_a FROM v_pairs), reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x), parts AS (SELECT x AS node, least(x, min(y)) AS component FROM reach GROUP BY x), sized AS (SELECT component, count(*) AS figures FROM parts GROUP BY component), near AS (SELECT component, min(distance) AS min_distance FROM v_pairs JOIN parts ON node = figure_id_a GROUP BY component) SELECT component, figures, min_distance, CASE WHEN min_distance <= 2 THEN 'critical' WHEN min_distance <= 5 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN min_distance <= 2 THEN CAST(0.95 AS double) WHEN min_distance <= 5 THEN CAST(0.8 AS double) ELSE CAST(0.6 AS double) END AS confidence FROM sized JOIN near USING (component)",
+        "phrase_hits": f"WITH {PHRASES} SELECT doc_id, phrase, count(*) AS hits FROM met GROUP BY ALL",
+        "phrase_screening": f"WITH {PHRASES} SELECT doc_id, count(DISTINCT phrase) AS unique_phrases, count(*) AS total_hits, count(DISTINCT phrase) >= 2 AS suspicious FROM met GROUP BY doc_id",
+        "sd_ratio": o("v_sd_n", ", g AS (SELECT table_id, count(*) AS k, sum((n - 1) * sd * sd) AS ss, sum(n - 1) AS df, var_samp(sd) AS observed, sum(1 / (CAST(2 AS double) * n)) AS inv FROM v_sd_n GROUP BY table_id) SELECT table_id, k, CASE WHEN k < 3 THEN NULL ELSE round(observed / (ss / df * inv / k), 6) END AS ratio FROM g"),
+        "large_figures": o("v_figures", "SELECT figure_id, width, height FROM v_figures WHERE coalesce(width, 999) >= 100 AND coalesce(height, 999) >= 100"),
+        "blot_figures": o("v_figures", "SELECT figure_id, image_type FROM v_figures WHERE lower(image_type) IN ('western_blot', 'gel')"),
+        "coauthors": o("v_links", ", once AS (SELECT DISTINCT author_id, paper_id FROM v_links), m AS (SELECT DISTINCT a.author_id AS of_author, b.author_id FROM once a JOIN once b ON a.paper_id = b.paper_id AND a.author_id <> b.author_id) SELECT of_author, m.author_id, CAST(flagged_papers AS bigint) AS flagged_papers FROM m JOIN v_authors v ON v.author_id = m.author_id", "v_authors"),
+        "described_matches": HASHES + ", " + ", ".join(o(x, "")[5:].rstrip() for x in ("v_papers", "v_figures")) + " SELECT p.*, coalesce(x.title, 'Unknown') AS title_a, coalesce(f.figure_label, '') AS label_a, coalesce(y.title, 'Unknown') AS title_b, coalesce(g.figure_label, '') AS label_b FROM v_pairs p LEFT JOIN v_papers x ON x.paper_id = paper_id_a LEFT JOIN v_papers y ON y.paper_id = paper_id_b LEFT JOIN v_figures f ON f.figure_id = figure_id_a LEFT JOIN v_figures g ON g.figure_id = figure_id_b",
+        "labelled_findings": o("v_findings", "SELECT paper_id, seq, figure_id, CASE figure_id WHEN 'fig0' THEN 'Figure 1' WHEN 'fig1' THEN 'Figure 2' END AS figure_label FROM v_findings"),
+        "new_members": o("v_links", "SELECT DISTINCT author_id % 5 AS campaign_id, paper_id FROM v_links l WHERE NOT EXISTS (SELECT 1 FROM v_campaign c WHERE c.paper_id = l.paper_id AND c.campaign_id = l.author_id % 5)", "v_campaign"),
+        "upserted_papers": o("v_incoming", ", k AS (SELECT doi, min(CAST(paper_id AS varchar)) AS known FROM v_papers WHERE doi IS NOT NULL GROUP BY doi) SELECT i.doi, row_id, coalesce(known, concat('new-', coalesce(i.doi, CAST(row_id AS varchar)))) AS id, known IS NULL AS is_new FROM v_incoming i LEFT JOIN k ON k.doi = i.doi", "v_papers"),
+        "status_counts": o("v_papers", "SELECT status, count(*) AS papers, CAST((SELECT count(*) FROM v_papers) AS bigint) AS total FROM v_papers GROUP BY status"),
+        "hash_page": HASHES + "SELECT figure_id, paper_id FROM v_bits WHERE figure_id > 100 ORDER BY figure_id LIMIT 500",
+        "statistics_summary": o("v_sentences", f", k AS (SELECT id, 'm' AS k FROM {_each(MEANS, 2)} UNION ALL SELECT id, 't' FROM {_each(T3, 3)} UNION ALL SELECT id, 't' FROM {_each(F4, 4)} UNION ALL SELECT id, 't' FROM {_each(C3, 3)} UNION ALL SELECT id, 't' FROM {_each(R2, 2)} UNION ALL SELECT id, 'p' FROM {_each(P2, 2)} UNION ALL SELECT id, 'd' FROM {_each(D1, 1)}) SELECT id, count(*) FILTER (k = 'm') AS means, count(*) FILTER (k = 't') AS tests, count(*) FILTER (k = 'p') AS p_values, count(*) FILTER (k = 'd') AS decimals FROM k GROUP BY id"),
+        "grim_rollup": o("v_means", ", f AS (SELECT id % 2000 AS paper_id, count(*) AS failures FROM v_means WHERE NOT (n < 2 OR abs(mean * n - round_even(mean * n, 0)) <= CAST(0.5 AS double) / CAST(100 AS double)) GROUP BY ALL) SELECT paper_id, failures, 'grim' AS method, CASE WHEN failures >= 3 THEN 'high' WHEN failures = 2 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN failures >= 3 THEN CAST(0.7 AS double) WHEN failures = 2 THEN CAST(0.6 AS double) ELSE CAST(0.45 AS double) END AS confidence FROM f"),
+        "exported_reports": o("v_campaign", ", r AS (SELECT paper_id % 9000 AS paper_id, author_id AS report_id, ts AS created_at FROM v_timeline), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY created_at DESC, report_id DESC) AS k FROM r) WHERE k = 1) SELECT c.paper_id, final_risk, report_id FROM v_campaign c LEFT JOIN l ON l.paper_id = c.paper_id WHERE final_risk IN ('critical', 'high', 'medium')", "v_timeline"),
     }

@@ -31,7 +31,10 @@ VIEWS = {
     "v_means": "SELECT o_orderkey AS id, CAST(o_orderkey % 700 AS double) / CAST(100 AS double) AS mean, CAST(2 + o_custkey % 60 AS int) AS n, CAST(o_orderkey % 250 AS double) / CAST(100 AS double) AS sd FROM {orders}",
     "v_sd_n": "SELECT o_custkey AS table_id, CAST(1 + o_orderkey % 90 AS double) / CAST(30 AS double) AS sd, CAST(5 + o_orderkey % 40 AS int) AS n FROM {orders}",
     "v_tests": "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 't' WHEN 1 THEN 'F' WHEN 2 THEN 'chi2' ELSE 'r' END AS test_type, CASE WHEN o_orderkey % 4 = 3 THEN CAST(o_custkey % 95 AS double) / CAST(100 AS double) ELSE CAST(o_custkey % 600 AS double) / CAST(100 AS double) END AS statistic, CAST(1 + o_orderkey % 7 AS int) AS df1, CAST(5 + o_custkey % 50 AS int) AS df2, CAST(o_orderkey % 1000 AS double) / CAST(1000 AS double) AS reported_p FROM {orders}",
-    "v_sentences": "SELECT o_orderkey AS id, concat('We saw M = ', CAST(o_orderkey % 9 AS varchar(9)), '.', CAST(10 + o_custkey % 90 AS varchar(9)), ' (SD = ', CAST(o_custkey % 4 AS varchar(9)), '.', CAST(10 + o_orderkey % 90 AS varchar(9)), '), N = ', CAST(5 + o_custkey % 80 AS varchar(9)), ' there; t(', CAST(3 + o_orderkey % 60 AS varchar(9)), ') = ', CAST(o_orderkey % 5 AS varchar(9)), '.', CAST(10 + o_orderkey % 80 AS varchar(9)), ', p = .0', CAST(1 + o_orderkey % 9 AS varchar(9)), ' and F(2, ', CAST(9 + o_custkey % 50 AS varchar(9)), ') = 4.', CAST(10 + o_custkey % 80 AS varchar(9)), '; (p < 0.05).') AS text FROM {orders}",
+    "v_sentences": "SELECT o_orderkey AS id, concat('We saw M = ', CAST(o_orderkey % 9 AS varchar(9)), '.', CAST(10 + o_custkey % 90 AS varchar(9)), ' (SD = ', CAST(o_custkey % 4 AS varchar(9)), '.', CAST(10 + o_orderkey % 90 AS varchar(9)), '), N = ', CAST(5 + o_custkey % 80 AS varchar(9)), ' there; t(', CAST(3 + o_orderkey % 60 AS varchar(9)), ') = ', CAST(o_orderkey % 5 AS varchar(9)), '.', CAST(10 + o_orderkey % 80 AS varchar(9)), ', p = .0', CAST(1 + o_orderkey % 9 AS varchar(9)), ' and F(2, ', CAST(9 + o_custkey % 50 AS varchar(9)), ') = 4.', CAST(10 + o_custkey % 80 AS varchar(9)), '; (p < 0.05). ', CASE o_orderkey % 8 WHEN 0 THEN 'M = .5, N = 20' WHEN 1 THEN 'p = -0.5 or p < .05' WHEN 2 THEN 'r(28) = 0.40 and r = -.31, p = .04' WHEN 3 THEN 'chi2(2, N = 30) = 4.1; chi2(3) = 7.25, p < .01' WHEN 4 THEN 'mean = 2.5 [SD = 0.75]' WHEN 5 THEN '3.45 ± 1.20 (N = 30)' WHEN 6 THEN 'mean ± SD: 4.10 ± 0.55, N = 12' ELSE 'mean=3.1;n=7' END, '.') AS text FROM {orders}",
+    "v_figures": "SELECT p_partkey AS figure_id, CAST(p_partkey % 50 AS bigint) AS paper_id, concat('Figure ', CAST(p_partkey % 9 AS varchar(9))) AS figure_label, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size * 8 AS int) END AS width, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size * 6 AS int) END AS height, CASE p_partkey % 5 WHEN 0 THEN 'Western_Blot' WHEN 1 THEN 'GEL' WHEN 2 THEN 'photo' WHEN 3 THEN 'plot' ELSE NULL END AS image_type FROM {part}",
+    "v_papers": "SELECT o_orderkey AS paper_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('Paper ', CAST(o_orderkey AS varchar(20))) END AS title, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE concat('10.1000/', CAST(o_custkey AS varchar(20))) END AS doi, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'pending' ELSE NULL END AS status FROM {orders}",
+    "v_incoming": "SELECT c_custkey AS row_id, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE concat('10.1000/', CAST(c_custkey * 2 AS varchar(20))) END AS doi FROM {customer}",
     "v_scores": "SELECT d.doc_id AS sample_id, CASE d.doc_id % 3 WHEN 0 THEN 'ela' WHEN 1 THEN 'noise_analysis' ELSE 'grim' END AS method, least(CAST(1 AS double), CAST(d.n_chars AS double) / CAST(5000 AS double)) AS confidence, (l.quality = 0 OR l.toxic = 1) AS label FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
     "v_log": "SELECT event_id, user_id AS paper_id, ts AS completed_at, CASE event_type WHEN 'click' THEN 'download' WHEN 'view' THEN 'extract_text' WHEN 'purchase' THEN 'aggregate' WHEN 'signup' THEN 'discover' ELSE 'report' END AS stage, CASE WHEN value > 50 THEN 'completed' ELSE 'failed' END AS status FROM {events}",
     "v_campaign": "SELECT o_orderkey AS paper_id, o_custkey % 5 AS campaign_id, CAST(o_custkey % 3 AS int) AS depth, CASE o_orderpriority WHEN '1-URGENT' THEN 'auto_done' WHEN '2-HIGH' THEN 'complete' WHEN '3-MEDIUM' THEN 'pending' WHEN '5-LOW' THEN 'dismissed' ELSE 'llm_queued' END AS triage_status, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'clean' WHEN 'P' THEN 'critical' ELSE NULL END AS final_risk, CAST(o_orderkey * 7 % 101 AS double) AS auto_risk_score, o_orderdate AS created_at FROM {orders}",
