@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what each returns is written to the shared folder and reread."""
-    docs = T.read(spark, sf_dir, "documents")
+    """All stages on ``documents``; what each returns is written to the shared folder and reread. A
+    stage's rows are deleted when the next one has written its own; those the result reads stay."""
+    docs, before = T.read(spark, sf_dir, "documents"), None
     folder = f"{T.checkpoint_dir(spark)}/probity-pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            T.remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
