@@ -238,9 +238,10 @@ def distribution_fit(frame: DataFrame, group: str, value: str, distribution: str
     point. Groups under five values or without spread are left out; nulls don't count.
     """
     v, n, i = F.col("v"), F.col("n"), F.col("i")
-    rows = frame.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
-    sums = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.stddev_samp("v").alias("s1"), F.min("v").alias("lo"))
-    fit = rows.join(sums.filter("s > 0 and n >= 5"), group)
+    key = "fitted_group"  # the group's own name may be one of those below
+    rows = frame.filter(F.col(value).isNotNull()).select(F.col(group).alias(key), F.col(value).cast("double").alias("v"))
+    sums = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.stddev_samp("v").alias("s1"), F.min("v").alias("lo"))
+    fit = rows.join(sums.filter("s > 0 and n >= 5"), key)
     if distribution == "norm":
         fit = fit.withColumns({"f": normal_cdf((v - F.col("m")) / F.col("s")), "g": normal_cdf((v - F.col("m")) / F.col("s1"))})
         critical = ANDERSON["norm"] / (1 + 4 / n - 25 / n / n)
@@ -251,16 +252,16 @@ def distribution_fit(frame: DataFrame, group: str, value: str, distribution: str
     else:
         raise ValueError(f"no fit for {distribution}")
     fit = fit.withColumn("range", F.least(F.floor(F.col("f") * RANGES), F.lit(RANGES - 1)))
-    ahead = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = fit.groupBy(group, "range").agg(F.count("*").alias("c"))
-    offsets = counts.select(group, "range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
-    fit = fit.withColumn("i", F.row_number().over(Window.partitionBy(group, "range").orderBy("v"))).join(offsets, [group, "range"]).withColumn("i", i + F.col("before"))
+    ahead = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = fit.groupBy(key, "range").agg(F.count("*").alias("c"))
+    offsets = counts.select(key, "range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
+    fit = fit.withColumn("i", F.row_number().over(Window.partitionBy(key, "range").orderBy("v"))).join(offsets, [key, "range"]).withColumn("i", i + F.col("before"))
     low = lambda c: F.log(F.greatest(c, F.lit(1e-300)))
     apart = F.greatest(i / n - F.col("f"), F.col("f") - (i - 1) / n)
-    d = fit.groupBy(group).agg(F.max(apart).alias("d"), F.first("n").alias("n"), F.sum((2 * i - 1) * low(F.col("g")) + (2 * n + 1 - 2 * i) * low(1 - F.col("g"))).alias("t"))
+    d = fit.groupBy(key).agg(F.max(apart).alias("d"), F.first("n").alias("n"), F.sum((2 * i - 1) * low(F.col("g")) + (2 * n + 1 - 2 * i) * low(1 - F.col("g"))).alias("t"))
     d = d.withColumn("anderson", -n - F.col("t") / n).withColumn("critical", critical).withColumn("p", _kolmogorov("d", "n"))
     suspicious = (F.col("p") < 0.01) & (F.col("anderson") > F.col("critical"))
-    return d.select(group, "n", F.round("d", 6).alias("ks"), F.round("p", 6).alias("p"), F.round("anderson", 6).alias("anderson"), F.round("critical", 6).alias("critical"), suspicious.alias("suspicious"))
+    return d.select(F.col(key).alias(group), "n", F.round("d", 6).alias("ks"), F.round("p", 6).alias("p"), F.round("anderson", 6).alias("anderson"), F.round("critical", 6).alias("critical"), suspicious.alias("suspicious"))
 
 
 @F.pandas_udf(DoubleType())

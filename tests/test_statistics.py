@@ -71,3 +71,33 @@ def test_sprite():
     sample = np.array([1, 2, 3, 4, 7, 7])
     assert S.sprite(round(sample.mean(), 2), round(sample.std(ddof=1), 2), 6)
     assert not S.sprite(4.0, 9.0, 5)
+
+
+@pytest.mark.parametrize("distribution", ["norm", "expon"])
+def test_distribution_fit(spark, distribution):
+    r = np.random.default_rng(3)
+    groups = {"normal": r.normal(5, 2, 400).round(3), "waiting": r.exponential(3, 400).round(3), "ties": np.repeat([1.0, 2.0, 9.0], 40), "few": np.array([1.0, 2.0]), "flat": np.full(20, 4.0)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("normal", None)]
+    got = {x.g: x for x in S.distribution_fit(spark.createDataFrame(rows, "g string, v double"), "g", "v", distribution).collect()}
+    assert set(got) == {"normal", "waiting", "ties"}
+    for g, x in got.items():
+        v = np.sort(groups[g])
+        n, i = len(v), np.arange(1, len(v) + 1)
+        if distribution == "norm":
+            f, h = tails.normal_cdf((v - v.mean()) / v.std()), tails.normal_cdf((v - v.mean()) / v.std(ddof=1))
+            critical = 0.787 / (1 + 4 / n - 25 / n**2)
+        else:
+            f, h = 1 - np.exp(-(v - v.min()) / (v.mean() - v.min())), np.where(v > 0, 1 - np.exp(-v / v.mean()), 0.0)
+            critical = 1.341 / (1 + 0.6 / n)
+        assert x.ks == pytest.approx(np.maximum(i / n - f, f - (i - 1) / n).max(), abs=1e-5)
+        assert x.anderson == pytest.approx(-n - ((2 * i - 1) * (np.log(np.maximum(h, 1e-300)) + np.log(1 - h[::-1]))).sum() / n, abs=1e-4)
+        assert x.critical == pytest.approx(critical, abs=1e-6)
+    assert [got[g].suspicious for g in ("normal", "waiting", "ties")] == ([False, True, True] if distribution == "norm" else [True, False, True])
+
+
+def test_one_tailed_correlations(spark):
+    t = spark.createDataFrame([(1, "r", 0.5, 1, 18, 0.0125), (2, "t", 2.0, 1, 30, 0.05)], "id long, test_type string, statistic double, df1 int, df2 int, reported_p double")
+    two, one = (S.check_p_values(t, x).orderBy("id").collect() for x in (False, True))
+    assert one[0].computed_p == pytest.approx(two[0].computed_p / 2)
+    assert one[1].computed_p == two[1].computed_p
+    assert (one[0].consistent, two[0].consistent) == (True, False)
