@@ -277,13 +277,15 @@ def candidate_rows(nodes: DataFrame) -> DataFrame | None:
 def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame | None:
     """(node, label) for the nodes that aren't the least of their class; None if no node has links.
 
-    ``nodes``: node, n, sketch, whole, bands; ``sets_of`` gives the shingles of the nodes it is handed.
+    ``nodes``: node, doc, digest, n, sketch, whole, bands; ``sets_of`` gives the shingles of the nodes it is
+    handed.
     """
     left = candidate_rows(nodes)
     if left is None:
         return None
-    sets = T.stored(sets_of(left.select("node").distinct()))
-    sketches = nodes.select("node", "n", "sketch", "whole")
+    some = T.stored(nodes.drop("bands").join(left.select("node").distinct(), "node", "left_semi"))  # the rounds carry these alone
+    sets = T.stored(sets_of(some))
+    sketches = some.select("node", "n", "sketch", "whole")
     classes, pivots, spent = None, FIRST_PIVOTS, [left]
     while True:
         labelled = left.withColumn("label", F.col("node"))
@@ -321,7 +323,7 @@ def link_classes(nodes: DataFrame, sets_of, percent: int) -> DataFrame | None:
         if left.isEmpty():
             break
         pivots *= 32
-    T.discard(sets, *spent)
+    T.discard(sets, some, *spent)
     return classes
 
 
@@ -352,14 +354,13 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     node = F.concat(_ordered(F.col("least")), "node")
     nodes = T.stored(nodes.select(F.col("node").alias("set"), node.alias("node"), "of.doc", "of.digest", "copies", "n", "sketch", "whole", "bands"))
 
-    def sets_of(some_nodes: DataFrame) -> DataFrame:
-        wanted = nodes.select("node", "doc", "digest").join(some_nodes, "node", "left_semi")
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = wanted.select("node", F.struct("doc", "digest").alias("own"))
-        may_be = T.membership_filter(wanted, F.xxhash64("own"))  # most texts have no candidate and stay where they are
-        texts = T.spread_join(rows.filter(may_be(F.xxhash64("doc", "digest"))).select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
+        some = T.likely_members(rows, F.xxhash64("doc", "digest"), wanted, F.xxhash64("own"))  # most texts have no candidate and stay where they are
+        texts = T.spread_join(some.select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
         return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>")
 
-    classes = link_classes(nodes.select("node", "n", "sketch", "whole", "bands"), sets_of, percent)
+    classes = link_classes(nodes.select("node", "doc", "digest", "n", "sketch", "whole", "bands"), sets_of, percent)
     ids = nodes.select("set", "node", "copies")
     ids = ids.withColumn("label", F.col("node")) if classes is None else ids.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = ids.select(F.col("set").alias("node"), _key_of(F.col("label")).alias("component_id"))

@@ -5,12 +5,9 @@ Null text has no words. "White" is the ASCII set [\\x20\\x09-\\x0D] everywhere.
 
 from __future__ import annotations
 
-import base64
 import string
 import uuid
-from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,25 +132,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: st
     return dealt.join(copies, [key, part], how).drop(part)
 
 
-#: Bits of a membership filter: one megabyte in the plan, whatever it is made of.
+#: Bits of a membership filter, which is broadcast as a row for each 64 of them that hold any.
 FILTER_BITS = 1 << 23
 
 
-def membership_filter(keys: DataFrame, key: Column) -> Callable[[Column], Column]:
-    """A test for 64-bit hashes that passes all those of ``keys`` and, while these are few, few others.
+def likely_members(rows: DataFrame, value: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """All ``rows`` whose 64-bit hash ``value`` is a ``key`` of ``keys`` and, while these are few, few others.
 
-    It is a bitmap of fixed size, put together by the executors; rows it drops need not be shuffled.
+    The keys become a bitmap of bounded size, put together by the executors and broadcast; rows that
+    it drops need not be shuffled.
     """
-    bit = F.pmod(key, F.lit(FILTER_BITS))
-    words = keys.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("bits"))
-    found = words.toArrow()  # FILTER_BITS / 64 rows at most
-    bitmap = np.zeros(FILTER_BITS // 64, "<i8")
-    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-    packed = F.unbase64(F.lit(base64.b64encode(bitmap.tobytes()).decode()))
-
-    def test(value: Column) -> Column:
-        at = F.pmod(value, F.lit(FILTER_BITS))
-        byte = F.conv(F.hex(F.substring(packed, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return test
+    at, bit, bits = unused(rows, "filter_word", "filter_bit", "filter_bits")
+    word, place = (lambda x: F.floor(F.pmod(x, F.lit(FILTER_BITS)) / 64).cast("int")), (lambda x: F.pmod(x, F.lit(64)).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place(key))
+    words = keys.groupBy(word(key).alias(at)).agg(F.bit_or(one).alias(bits))  # FILTER_BITS / 64 rows at most
+    met = rows.withColumns({at: word(value), bit: place(value)}).join(F.broadcast(words), at)
+    return met.filter(F.call_function("shiftright", F.col(bits), F.col(bit)).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
