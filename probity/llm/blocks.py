@@ -3,7 +3,7 @@
 A page is cut into leaf blocks, each with the path of its open elements. A numpy bidirectional
 LSTM reads the whole sequence (hashed tag paths, hashed words, a few shape features) and labels
 every block as main text or not, so that a block's surroundings count. The network was trained
-here, on generated layouts with known labels in four languages; on most of them the names of
+here, on generated layouts with known labels in four languages; on half of them the names of
 classes are withheld, neutral or wrong, so that words and structure have to tell. Its weights lie
 beside this module; ``python -m probity.llm.blocks`` trains them anew, with fixed seeds.
 
