@@ -23,13 +23,14 @@ SYMBOL = r"[#*$%&|<>]"
 DIVIDER = r"[|»›•]"
 #: A line is boilerplate if it has one of these phrases for every so many words, however long it is.
 WORDS_A_PHRASE = 30
-#: Phrases of menus and notices in the corpus' languages; a dot stands for a letter with an accent.
+#: Phrases of menus and notices in the corpus' languages, from a word's beginning; a dot stands for a
+#: letter with an accent.
 BOILERPLATE = (
-    r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|javascript|lorem ipsum|"
-    r"sign (in|up)|log ?in\b|subscribe|click here|read more|share (this|on)|newsletter|powered by|\{|\}|"
+    r"(?i)(\{|\}|\b(?:cookie|privacy policy|terms of (use|service)|all rights reserved|javascript|lorem ipsum|"
+    r"sign (in|up)|log ?in\b|subscribe|click here|read more|share (this|on)|newsletter|powered by|"
     r"politique de confidentialit|tous droits r.serv|lire la suite|cliquez ici|abonnez-vous|mentions l.gales|"
     r"datenschutzerkl|alle rechte vorbehalten|weiterlesen|hier klicken|impressum|jetzt anmelden|"
-    r"pol.tica de privacidad|derechos reservados|leer m.s\b|haga clic|suscr.b|aviso legal)"
+    r"pol.tica de privacidad|derechos reservados|leer m.s\b|haga clic|suscr.b|aviso legal))"
 )
 
 
