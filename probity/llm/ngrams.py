@@ -69,9 +69,10 @@ class Tokens:
         return np.concatenate([[0], self.ends[:-1] + 1])
 
 
-def tokenised(texts: pa.Array) -> Tokens:
-    """A-Z lower-cased, split at ASCII white space; null is empty."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+def tokenised(texts: pa.Array, lower: bool = True) -> Tokens:
+    """Split at ASCII white space, A-Z lower-cased before (if ``lower``); null is empty."""
+    filled = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)
     flat = lists.flatten()
     real = pc.not_equal(pc.binary_length(flat), 0)  # white space at a border leaves an empty piece
     sizes = np.bincount(pc.list_parent_indices(lists).filter(real).to_numpy(zero_copy_only=False), minlength=len(texts))
