@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from probity.llm import text as T
-from probity.llm.neardup import _mixed
-from probity.llm.ngrams import pieces, tokenised, word_hashes
+from probity.llm.neardup import _mixed, _Words
 
 WINDOW = 35
 PHRASE = 8
@@ -44,21 +43,14 @@ SHARD_CONTEXTS = 12_000
 U64 = np.uint64
 
 
-def phrase_hashes(words: np.ndarray, size: int = PHRASE) -> np.ndarray:
-    """Fingerprints of all runs of ``size`` words, from the words' hashes."""
-    out = np.zeros(len(words) - size + 1, U64)
+def phrase_hashes(words: list[bytes], known: _Words, size: int) -> np.ndarray:
+    h = np.fromiter(map(known.__getitem__, words), U64, len(words))
+    out = np.zeros(len(h) - size + 1, U64)
     for k in range(size):
-        out = _mixed(out + words[k : k + len(out)] + U64(0x9E3779B97F4A7C15))
+        out = _mixed(out + h[k : k + len(out)] + U64(0x9E3779B97F4A7C15))
     return out
 
 
-def hashed_texts(texts: pa.Array) -> list[np.ndarray]:
-    """The hashes of each text's words; each distinct word is hashed once."""
-    t = tokenised(texts, lower=False)
-    h = word_hashes(t.words)[t.codes]
-    return [h[a:b] for a, b in zip(t.firsts, t.ends, strict=True)]
-
-
 def window_anchors(phrases: np.ndarray, span: int = SPAN) -> np.ndarray:
     """For each window, the place of its least phrase (the last of equals)."""
     n = len(phrases) - span + 1
@@ -77,13 +69,15 @@ def window_anchors(phrases: np.ndarray, span: int = SPAN) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: its anchors' hashes and how many windows each has."""
-    for batch in pieces(batches, 2):
+    known = _Words()
+    for batch in batches:
         hashes = []
-        for words in hashed_texts(batch.column(2)):
+        for text in batch.column(2).to_pylist():
+            words = (text or "").encode().split()
             if len(words) < WINDOW:
                 hashes.append([])
                 continue
-            p = phrase_hashes(words)
+            p = phrase_hashes(words, known, PHRASE)
             hashes.append(p[np.unique(window_anchors(p))].view("i8"))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["doc", "digest", "anchors"])
 
@@ -95,12 +89,13 @@ def _contexts(hot_from: int):
     """Around each recurring anchor, the words its windows cover; of hot anchors also the windows' prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
+        known = _Words()
+        for batch in batches:
             rows: list[tuple] = []
-            for doc, digest, text, recurring, h in zip(*(batch.column(k).to_pylist() for k in range(4)), hashed_texts(batch.column(2)), strict=True):
+            for doc, digest, text, recurring in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = (text or "").encode().split()
                 counts = {r["anchor"]: r["n"] for r in recurring}
-                p = phrase_hashes(h)
+                p = phrase_hashes(words, known, PHRASE)
                 at = window_anchors(p)
                 cut = np.flatnonzero(np.diff(at)) + 1
                 hashes = p.view("i8")
@@ -126,21 +121,28 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def coded_texts(texts: list[str]) -> list[str]:
-    """The texts with one character a word, after a dictionary of the words they use."""
-    t = tokenised(pa.array(texts, pa.string()), lower=False)
-    points = t.codes + 1
-    points += 0x800 * (points >= 0xD800)  # surrogates are not characters
-    flat = points.astype("<u4").tobytes().decode("utf-32-le")
-    return [flat[a:b] for a, b in zip(t.firsts, t.ends, strict=True)]
+class PhraseAutomaton:
+    """Passages as strings with one character a word, after a dictionary of the words they use."""
+
+    def __init__(self) -> None:
+        self.codes: dict[str, str] = {}
 
+    def encode(self, words: list[str]) -> str:
+        codes = self.codes
+        out = []
+        for w in words:
+            if (c := codes.get(w)) is None:
+                n = len(codes) + 1
+                c = codes[w] = chr(n + (0x800 if n >= 0xD800 else 0))  # surrogates are not characters
+            out.append(c)
+        return "".join(out)
 
-def compiled(passages: set[str]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in passages:
-        automaton.add_word(p)
-    automaton.make_automaton()
-    return automaton
+    def compile(self, passages: set[str]) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in passages:
+            automaton.add_word(p)
+        automaton.make_automaton()
+        return automaton
 
 
 def covered(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int]]:
@@ -157,7 +159,8 @@ def covered(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int]
 def locate(contexts: list[str], windows: list[int], known: list[list[int] | None]) -> list[list[tuple[int, int]]]:
     """Covered places (in words) of each context: windows that recur among the contexts, or are known
     to recur, become passages; an automaton finds every occurrence."""
-    coded = coded_texts(contexts)
+    coder = PhraseAutomaton()
+    coded = [coder.encode(c.split(" ")) for c in contexts]
     count: Counter = Counter()
     for c, n, k in zip(coded, windows, known, strict=True):
         if k is None:
@@ -173,7 +176,7 @@ def locate(contexts: list[str], windows: list[int], known: list[list[int] | None
                 start = None
     if not passages:
         return [[] for _ in coded]
-    automaton = compiled(passages)
+    automaton = coder.compile(passages)
     return [covered(automaton, c) for c in coded]
 
 
