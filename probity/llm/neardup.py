@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import text as T
+from probity.llm.ngrams import pieces
 
 SHINGLE = 5
 SAMPLES = 256
@@ -49,7 +50,7 @@ class _Words(dict):
     """Word to 64-bit hash; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -145,7 +146,7 @@ def _sketched(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (mul, add) = _Words(), _seeds(SAMPLES)
         step = np.arange(n_bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             n, nodes, sketches, wholes, bands = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, known)
@@ -172,7 +173,7 @@ def _sketched(percent: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for batch in batches:
+    for batch in pieces(batches, 1):
         sets = [shingle_set(t, known).view("i8") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 

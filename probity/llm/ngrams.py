@@ -69,10 +69,9 @@ class Tokens:
         return np.concatenate([[0], self.ends[:-1] + 1])
 
 
-def tokenised(texts: pa.Array, lower: bool = True) -> Tokens:
-    """Split at ASCII white space, A-Z lower-cased before (if ``lower``); null is empty."""
-    filled = pc.fill_null(texts, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)
+def tokenised(texts: pa.Array) -> Tokens:
+    """A-Z lower-cased, split at ASCII white space; null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     flat = lists.flatten()
     real = pc.not_equal(pc.binary_length(flat), 0)  # white space at a border leaves an empty piece
     sizes = np.bincount(pc.list_parent_indices(lists).filter(real).to_numpy(zero_copy_only=False), minlength=len(texts))
@@ -87,8 +86,13 @@ def tokenised(texts: pa.Array, lower: bool = True) -> Tokens:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``PIECE`` bytes of text, one row at least."""
+    """The batches in slices of about ``PIECE`` bytes of text, one row at least, so that Python holds
+    few texts at once; an empty batch stays one."""
     for batch in batches:
+        column %= batch.num_columns
+        if not len(batch):
+            yield batch
+            continue
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(batch):

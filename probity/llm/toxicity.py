@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import text as T
+from probity.llm.ngrams import pieces
 
 #: Labelled rows used for fitting, at most; the first by hash of doc_id.
 MAX_LABELLED = 20_000
@@ -99,7 +100,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label that hold each bucket; bucket -1 counts the texts."""
     n = np.zeros((2, 1 << HASH_BITS), np.int64)
     size = [0, 0]
-    for batch in batches:
+    for batch in pieces(batches, 2):
         for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             buckets = {h for w in distinct_words(text) for h in term_hashes(w)}
             n[int(label > 0)][np.fromiter(buckets, int, len(buckets))] += 1
@@ -128,7 +129,7 @@ def _places(terms: np.ndarray):
     place = {int(t): i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             at = [sorted({place[h] for w in distinct_words(t) for h in term_hashes(w) if h in place}) for t in batch.column(2).to_pylist()]
             keys, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             parts = json.dumps(keys).encode(), np.array(labels, np.int8).tobytes(), np.array([len(a) for a in at], np.int32).tobytes(), np.array([x for a in at for x in a], np.int32).tobytes()
@@ -182,13 +183,13 @@ def _scorer(model: FactorizationMachine, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in pieces(batches, -1):
             scores = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 columns: set[int] = set()
                 for w in distinct_words(text):
                     if (c := known.get(w)) is None:
-                        if len(known) > 200_000:
+                        if len(known) > 60_000:
                             known.clear()
                         known[w] = c = tuple(place[h] for h in term_hashes(w) if h in place)
                     if c:
