@@ -4,8 +4,10 @@ import itertools
 import math
 from datetime import date
 
+import numpy as np
+
+from probity.operators import similarity, text
 from probity.operators import statistics as S
-from probity.operators import text
 from probity.plans import catalog, views
 
 
@@ -51,3 +53,23 @@ def test_phrases_of_all_lengths_and_whole_texts(spark):
     late = spark.createDataFrame([(1, "x" * 600_000 + " with p = 0.04 and 2.5 there")], "id long, text string")
     assert [r.value for r in text.extract_p_values(late).collect()] == [0.04]
     assert [r.value for r in text.extract_decimals(late).collect()] == [0.04, 2.5]
+
+
+def test_pairs_at_wide_distances_are_compared_in_blocks(spark):
+    r = np.random.default_rng(5)
+    for digits, most in ((20, 24), (16, 20), (5, 7)):
+        codes = [int(x) & ((1 << 4 * digits) - 1) for x in (int(r.integers(0, 1 << 62)) << 22 ^ int(r.integers(0, 1 << 62)) for _ in range(120))]
+        rows = [(f"f{k % 100:03d}", None if k % 9 == 0 else f"p{k % 5}", f"{c:0{digits}x}") for k, c in enumerate(codes)]  # 20 figures have two hashes
+        rows += [(f"g{k}", "p1", rows[3][2]) for k in range(40)] + [(None, "p1", rows[3][2]), ("h", "p1", None), ("i", "p1", "ab")]
+        frame = spark.createDataFrame([*rows, *rows[:30]], "figure_id string, paper_id string, phash string")
+        own = [(f, p, int(h, 16)) for f, p, h in rows if f and h and len(h) == digits]
+        met = {(f, p, g, q, (x ^ y).bit_count()) for f, p, x in own for g, q, y in own if f != g and (x ^ y).bit_count() <= most}
+        for across in (None, True):
+            want = {x for x in met if across is None or None not in (x[1], x[3]) and x[1] != x[3]}
+            new = frame.filter("figure_id < 'f050'")
+            for asked, some in ((None, {x for x in want if x[0] < x[2]}), (new, {x for x in want if x[0] < "f050"})):
+                found = similarity.similar_pairs(frame, digits, most, across, asked)
+                got = [tuple(x) for x in found.collect()]
+                assert len(got) == len(some), "a pair comes once"
+                assert set(got) == some
+                assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), "no join brings most pairs together row by row"
