@@ -5,6 +5,7 @@ import math
 from datetime import date
 
 import numpy as np
+import pytest
 
 from probity.operators import similarity, text
 from probity.operators import statistics as S
@@ -73,3 +74,26 @@ def test_pairs_at_wide_distances_are_compared_in_blocks(spark):
                 assert len(got) == len(some), "a pair comes once"
                 assert set(got) == some
                 assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), "no join brings most pairs together row by row"
+
+
+@pytest.mark.parametrize("name", ["new_matches"])
+def test_queries_over_pairs_compare_codes_in_blocks(spark, tmp_path, name):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 64))
+    x[200:] = x[:100] + r.normal(size=(100, 64)) / 3
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    on = x > 0
+    pairs = [(i, i % 50, j, j % 50, int((on[i] != on[j]).sum())) for i in range(300) for j in range(i + 1, 300)]
+    pairs = [p for p in pairs if p[4] <= 20]
+    want = {
+        "new_matches": {p for p in pairs if p[0] % 2},
+        "cross_paper_duplicates": {p for p in pairs if p[1] != p[3]},
+        "similar_pairs": set(pairs),
+        "top_matches": set(sorted(pairs, key=lambda p: (p[4], p[0], p[2]))[:50]),
+    }[name]
+    got = catalog.queries()[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "slice" not in plan, "probes by slice bring most pairs together at this distance"
+    found = got.select(*similarity.PAIR).collect()
+    assert len(found) == len(want)
+    assert {tuple(p) for p in found} == want
