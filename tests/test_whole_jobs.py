@@ -76,7 +76,7 @@ def test_pairs_at_wide_distances_are_compared_in_blocks(spark):
                 assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), "no join brings most pairs together row by row"
 
 
-@pytest.mark.parametrize("name", ["new_matches", "cross_paper_duplicates", "similar_pairs"])
+@pytest.mark.parametrize("name", ["new_matches", "cross_paper_duplicates", "similar_pairs", "top_matches"])
 def test_queries_over_pairs_compare_codes_in_blocks(spark, tmp_path, name):
     r = np.random.default_rng(9)
     x = r.normal(size=(300, 64))
