@@ -93,7 +93,7 @@ def test_queries_over_pairs_compare_codes_in_blocks(spark, tmp_path, name):
     }[name]
     got = catalog.queries()[name](spark, str(tmp_path))
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "slice" not in plan, "probes by slice bring most pairs together at this distance"
+    assert "posexplode" not in plan, "slices bring most pairs together at this distance"
     found = got.select(*similarity.PAIR).collect()
     assert len(found) == len(want)
     assert {tuple(p) for p in found} == want
