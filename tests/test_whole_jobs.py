@@ -97,3 +97,27 @@ def test_queries_over_pairs_compare_codes_in_blocks(spark, tmp_path, name):
     found = got.select(*similarity.PAIR).collect()
     assert len(found) == len(want)
     assert {tuple(p) for p in found} == want
+
+
+def test_clusters_keep_stars_of_pairs(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b), int(d)) for a, b, d in zip(r.integers(0, 400, 500), r.integers(0, 400, 500), r.integers(1, 9, 500), strict=True)]
+    edges = [(a + 1000 * (a % 3), b - b % 3 + a % 3 + 1000 * (a % 3), d) for a, b, d in edges] + [(9000, 9000, 7)]
+    label = {n: n for a, b, _ in edges for n in (a, b)}
+    for _ in label:
+        moved = False
+        for a, b, _ in edges:
+            if (least := min(label[a], label[b])) != max(label[a], label[b]):
+                label[a] = label[b] = least
+                moved = True
+        if not moved:
+            break
+    least = {c: min(d for a, _, d in edges if label[a] == c) for c in label.values()}
+    want = {(c, list(label.values()).count(c), d) for c, d in least.items()}
+    pairs = spark.createDataFrame(edges, "figure_id_a long, figure_id_b long, distance int").repartition(3)
+    for most in (7, 1_000_000):
+        monkeypatch.setattr(similarity, "EDGES", most)
+        assert {(x.component, x.figures, x.min_distance) for x in similarity.hash_clusters(pairs).collect()} == want
+        assert {(x.node, x.component) for x in similarity.connected_components(pairs, "figure_id_a", "figure_id_b").collect()} == set(label.items())
+    clique = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long").coalesce(2)
+    assert similarity.stars(clique, "a", "b").count() <= 2 * 59, "rounds don't carry every pair of a dense cluster"
