@@ -7,7 +7,7 @@ from datetime import date
 import numpy as np
 import pytest
 
-from probity.operators import similarity, text
+from probity.operators import authors, similarity, text
 from probity.operators import statistics as S
 from probity.plans import catalog, views
 
@@ -121,3 +121,30 @@ def test_clusters_keep_stars_of_pairs(spark, monkeypatch):
         assert {(x.node, x.component) for x in similarity.connected_components(pairs, "figure_id_a", "figure_id_b").collect()} == set(label.items())
     clique = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long").coalesce(2)
     assert similarity.stars(clique, "a", "b").count() <= 2 * 59, "rounds don't carry every pair of a dense cluster"
+
+
+def test_communities_leave_no_move_that_raises_modularity(spark):
+    r = np.random.default_rng(4)
+    n = 120
+    met = {(min(x), max(x)): 1 + sum(x) % 3 for x in r.integers(0, n, (900, 2)).tolist()}
+    a, b, w = (np.array(x) for x in zip(*[(i, j, k) for (i, j), k in met.items()], strict=True))
+    table = np.zeros((n, n))
+    np.add.at(table, (a, b), w)
+    np.add.at(table, (b, a), w)
+    total, degree = table.sum(), table.sum(axis=0)
+    quality = lambda part: sum(table[np.ix_(part == c, part == c)].sum() / total - (degree[part == c].sum() / total) ** 2 for c in set(part.tolist()))
+    one = a != b
+    src, dst, weight = np.concatenate([a[one], b[one]]), np.concatenate([b[one], a[one]]), np.concatenate([w[one], w[one]]).astype("f8")
+    own = authors._moved(n, src, dst, weight, table.diagonal().copy(), total)
+    for v in range(n):
+        for c in set(own.tolist()):
+            other = own.copy()
+            other[v] = c
+            assert quality(other) <= quality(own) + 1e-9
+    part = authors.divided(n, a, b, w)
+    assert quality(part) >= quality(own) - 1e-9, "merging communities raises it too"
+    assert all(part[v] == np.flatnonzero(part == part[v]).min() for v in range(n))
+    edges = [(10 * g + i, 10 * g + j, 1) for g in range(30) for i in range(8) for j in range(i)] + [(10 * g, 10 * g + 10, 1) for g in range(29) if g % 10 != 9]
+    got = authors.communities(spark.createDataFrame(edges, "author_a long, author_b long, weight long")).collect()
+    assert len(got) == 240
+    assert {(x.author_id, x.community) for x in got} == {(10 * g + i, 10 * g) for g in range(30) for i in range(8)}
