@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import text as T
-from probity.llm.ngrams import pieces
+from probity.llm.ngrams import giving_back, pieces
 
 SHINGLE = 5
 SAMPLES = 256
@@ -348,7 +348,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     they are alone. Of repeated rows with one key, all are kept or none. An empty table stays empty.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), _text_digest(text).alias("digest"), F.col(text).alias("text"))
-    all_ = T.stored(rows.mapInArrow(_sketched(percent), SKETCHES))
+    all_ = T.stored(rows.mapInArrow(giving_back(_sketched(percent)), SKETCHES))
     some = F.struct("doc", "digest")
     firsts = [F.first(c).alias(c) for c in ("n", "sketch", "whole", "bands")]
     nodes = all_.filter("node is not null").groupBy("node").agg(F.min("doc").alias("least"), F.min(some).alias("of"), F.count("*").alias("copies"), *firsts)
@@ -359,7 +359,7 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
         wanted = wanted.select("node", F.struct("doc", "digest").alias("own"))
         some = T.likely_members(rows, F.xxhash64("doc", "digest"), wanted, F.xxhash64("own"))  # most texts have no candidate and stay where they are
         texts = T.spread_join(some.select(F.struct("doc", "digest").alias("own"), "text"), wanted, "own", F.spark_partition_id(), hot=T.hot_keys(all_.select(F.struct("doc", "digest").alias("own")), "own"))
-        return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node binary, shingles array<long>")
+        return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(giving_back(_sets), "node binary, shingles array<long>")
 
     classes = link_classes(nodes.select("node", "doc", "digest", "n", "sketch", "whole", "bands"), sets_of, percent)
     ids = nodes.select("set", "node", "copies")
@@ -381,7 +381,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     keys = ["own_null", "own_doc", "own_digest"]
     kept = near_duplicate_classes(docs, key, text, percent).filter("kept").select(*own(F.col("doc"), F.col("digest"))).distinct()
     rows = docs.select(F.struct("*").alias("row"), *own(F.col(key).cast("long"), _text_digest(text)))
-    return rows.dropDuplicates(keys).join(kept, keys, "left_semi").select("row.*")
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")  # in this order whole rows are sorted once
 
 
 def op9_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

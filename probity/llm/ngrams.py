@@ -23,6 +23,7 @@ first token of a text follows the end alone.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import mmap
 import uuid
@@ -101,6 +102,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             start = end
 
 
+def giving_back(run):
+    """``run`` for mapInArrow; afterwards the worker, which waits for its next task, returns the memory
+    that it no longer uses to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return whole
+
+
 # --- shared files
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probity.llm import text as T
-from probity.llm.ngrams import pieces
+from probity.llm.ngrams import giving_back, pieces
 
 #: Labelled rows used for fitting, at most; the first by hash of doc_id.
 MAX_LABELLED = 20_000
@@ -178,26 +178,47 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, usable: Column, key: str =
     return FactorizationMachine(fitted["bias"], np.frombuffer(fitted["terms"], np.int64), linear, factors.reshape(len(linear), FACTORS))
 
 
-def _scorer(model: FactorizationMachine, name: str):
+def _scored(model: FactorizationMachine, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches and the scores of their column ``text``."""
     place = {int(t): i for i, t in enumerate(model.terms)}
+    known: dict[str, tuple] = {}
+    for batch in pieces(batches, text):
+        scores = []
+        for said in batch.column(text).to_pylist():
+            columns: set[int] = set()
+            for w in distinct_words(said):
+                if (c := known.get(w)) is None:
+                    if len(known) > 60_000:
+                        known.clear()
+                    known[w] = c = tuple(place[h] for h in term_hashes(w) if h in place)
+                if c:
+                    columns.update(c)
+            scores.append(model.score(np.fromiter(sorted(columns), int, len(columns))))
+        yield batch, np.array(scores, float)
+
+
+def _scorer(model: FactorizationMachine, text: int, name: str):
+    """The batches with the scores in place of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {}
-        for batch in pieces(batches, -1):
-            scores = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                columns: set[int] = set()
-                for w in distinct_words(text):
-                    if (c := known.get(w)) is None:
-                        if len(known) > 60_000:
-                            known.clear()
-                        known[w] = c = tuple(place[h] for h in term_hashes(w) if h in place)
-                    if c:
-                        columns.update(c)
-                scores.append(model.score(np.fromiter(sorted(columns), int, len(columns))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], name])
+        for batch, scores in _scored(model, batches, text):
+            yield batch.set_column(text, name, pa.array(scores))
 
-    return run
+    return giving_back(run)
+
+
+def _under_half(model: FactorizationMachine, text: int):
+    """The rows that score under 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, scores in _scored(model, batches, text):
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return giving_back(run)
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, carry: list[str], text: str = "text") -> DataFrame:
@@ -206,8 +227,8 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, carry: list[str
     kept = docs.select(*carry)
     scored, score = T.unused(kept, "scored_text", "score")
     rows = docs.select(*carry, F.col(text).alias(scored))
-    kind = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(_scorer(model, score), f"{kind}`{score}` double")
+    kind = "".join(f"{x}, " for x in [_ddl(kept)] if x)
+    return rows.mapInArrow(_scorer(model, len(rows.columns) - 1, score), f"{kind}`{score}` double")
 
 
 def held_out(key: Column, parts: int = 5, part: int = 0) -> Column:
@@ -218,8 +239,8 @@ def held_out(key: Column, parts: int = 5, part: int = 0) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that score under 0.5, with their own columns."""
     model = fit_on_labels(docs, labels, ~held_out(F.col(key)), key, text)
-    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return score_toxicity(row, model, ["row"]).filter("score < 0.5").select("row.*")
+    at = [c.lower() for c in docs.columns].index(text.lower())
+    return docs.mapInArrow(_under_half(model, at), _ddl(docs))  # a text goes to the worker and back once
 
 
 def op2_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from probity.llm import blocks, mixing, ngrams
+from probity.llm import blocks, mixing, neardup, ngrams, toxicity
 
 
 def test_mixing_keeps_to_exact_weights():
@@ -103,3 +104,38 @@ def test_frequent_words_are_divided(spark):
                 p = (max(three[(*g, w)] - d3, 0) + d3 * kinds3[g] * p) / two[g]
             out += math.log10(p)
         assert row.score == pytest.approx(out, abs=1e-3 * len(t))
+
+
+def test_stages_carry_a_text_once(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["gruk", "tari", "molen", "susu"]) + r.choice("abc") for _ in range(12)) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(k, t, [k]) for k, t in enumerate(texts)], "doc_id long, Text string, more array<long>")
+    labels = spark.createDataFrame([(k, int("gruka" in t)) for k, t in enumerate(texts) if t], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    model = toxicity.fit_on_labels(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    low = {x.doc_id for x in toxicity.score_toxicity(docs, model, ["doc_id"]).collect() if x.score < 0.5}
+    assert 0 < len(low) < len(texts)
+    assert sorted(map(tuple, kept.collect())) == sorted((k, texts[k], [k]) for k in low)
+    assert kept.columns == docs.columns
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(" not in plan(kept), "workers get a text beside the row that holds it"
+    single = plan(neardup.drop_near_duplicates(docs))
+    assert single.index("Aggregate") < single.index("LeftSemi"), "rows are sorted as a whole for copies, and again for the join"
+
+
+def test_workers_give_memory_back_at_the_end(monkeypatch):
+    class System:
+        calls = []
+
+        def __init__(self, _):
+            pass
+
+        def malloc_trim(self, left):
+            self.calls.append(left)
+
+    monkeypatch.setattr(ngrams.ctypes, "CDLL", System)
+    batches = ngrams.giving_back(lambda x: (2 * k for k in x))(iter([1, 2]))
+    assert next(batches) == 2
+    assert not System.calls
+    assert list(batches) == [4]
+    assert System.calls == [0]
