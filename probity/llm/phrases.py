@@ -6,7 +6,8 @@
    anchor's shard. Documents thus meet only the shards whose passages they can hold.
 3. Shards. A task counts the windows of its contexts exactly, word for word, joins those that
    recur into passages, compiles the passages into an automaton over dictionary-coded words
-   (pyahocorasick), and streams all contexts through it to locate every occurrence.
+   (pyahocorasick), and streams all contexts, equal ones once with their number, through it to
+   locate every occurrence.
 4. The covered places of a document come together and its words are cut.
 
 An anchor in a large part of all documents would fill one shard. Of anchors over ``HOT`` occurrences
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from probity.llm import text as T
-from probity.llm.neardup import _mixed, _Words
+from probity.llm.neardup import _mixed
 
 WINDOW = 35
 PHRASE = 8
@@ -41,14 +41,76 @@ SPAN = WINDOW - PHRASE + 1
 HOT = 20_000
 SHARD_CONTEXTS = 12_000
 U64 = np.uint64
-
-
-def phrase_hashes(words: list[bytes], known: _Words, size: int) -> np.ndarray:
-    h = np.fromiter(map(known.__getitem__, words), U64, len(words))
-    out = np.zeros(len(h) - size + 1, U64)
+#: Bytes of text that are taken at once, so that their arrays stay small, and the bytes from which
+#: on a word is hashed by itself.
+PIECE = 1 << 20
+LONG = 64
+
+
+class Words:
+    """The words of some texts: ``data`` joins them by one space, with a space behind the last.
+    Word k is there from ``at[k]`` to ``at[k + 1] - 1``; text i has words ``first[i]`` to ``first[i + 1]``."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        white = (raw - np.uint8(9) < 5) | (raw == 32)
+        ends = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+        kept = ~white
+        kept[ends] = True
+        self.data = np.where(white, np.uint8(32), raw)[kept]
+        self.at = np.concatenate([[0], np.flatnonzero(self.data == 32) + 1])
+        borders = np.cumsum([len(t) + 1 for t in texts]) - 1
+        self.first = np.concatenate([[0], np.searchsorted(ends, borders, "right")])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word, made of eight bytes at a time."""
+        start, length = self.at[:-1], np.diff(self.at) - 1
+        eight = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        low = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+        out = _mixed(length.astype(U64))
+        which, left = slice(None), length
+        for done in range(0, LONG, 8):
+            out[which] = _mixed(out[which] + (eight[start[which] + done] & low[np.minimum(left, 8)]))
+            which = np.flatnonzero((length > done + 8) & (length <= LONG))
+            if not len(which):
+                break
+            left = length[which] - (done + 8)
+        for k in np.flatnonzero(length > LONG):
+            out[k] = xxhash.xxh3_64_intdigest(self.data[start[k] : start[k] + length[k]].tobytes())
+        return out
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with the same anchor: text, the anchor's hash, first window, number of windows."""
+        if len(self.text) < WINDOW:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        p = phrase_hashes(self.hashes(), PHRASE)
+        anchors = window_anchors(p)
+        windows = np.flatnonzero(self.text[: len(anchors)] == self.text[WINDOW - 1 :])
+        places = anchors[windows]
+        head = np.flatnonzero(np.diff(places, prepend=-1))
+        begin = windows[head]
+        return self.text[begin], p[places[head]].view("i8"), begin, np.diff(head, append=len(windows))
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """The words of all texts (null: none), for ``PIECE`` bytes or one larger text at a time."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > PIECE:
+            yield start, i - start, Words(texts[start:i])
+            start, held = i, 0
+        held += len(text) + 1
+    if texts:
+        yield start, len(texts) - start, Words(texts[start:])
+
+
+def phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(words) - size + 1, U64)
     for k in range(size):
-        out = _mixed(out + h[k : k + len(out)] + U64(0x9E3779B97F4A7C15))
-    return out
+        out = out * U64(0x9E3779B97F4A7C15) + words[k : k + len(out)]
+    return _mixed(out)
 
 
 def window_anchors(phrases: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -68,18 +130,13 @@ def window_anchors(phrases: np.ndarray, span: int = SPAN) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: its anchors' hashes and how many windows each has."""
-    known = _Words()
+    """Per text: the anchors' hashes of its runs of windows."""
     for batch in batches:
-        hashes = []
-        for text in batch.column(2).to_pylist():
-            words = (text or "").encode().split()
-            if len(words) < WINDOW:
-                hashes.append([])
-                continue
-            p = phrase_hashes(words, known, PHRASE)
-            hashes.append(p[np.unique(window_anchors(p))].view("i8"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["doc", "digest", "anchors"])
+        for start, n, words in pieces(batch.column(2)):
+            text, anchor, *_ = words.runs()
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
+            hashes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(anchor, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(1).slice(start, n), hashes], names=["doc", "digest", "anchors"])
 
 
 CONTEXTS = "doc long, digest long, anchor long, start int, context string, windows int, prints array<binary>"
@@ -89,53 +146,43 @@ def _contexts(hot_from: int):
     """Around each recurring anchor, the words its windows cover; of hot anchors also the windows' prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, digest, text, recurring in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = (text or "").encode().split()
-                counts = {r["anchor"]: r["n"] for r in recurring}
-                p = phrase_hashes(words, known, PHRASE)
-                at = window_anchors(p)
-                cut = np.flatnonzero(np.diff(at)) + 1
-                hashes = p.view("i8")
-                for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]), strict=True):
-                    anchor = int(hashes[at[a]])
-                    n = counts.get(anchor, 0)
-                    if n < 2:
-                        continue
-                    prints = None if n < hot_from else [xxhash.xxh3_128_digest(b" ".join(words[k : k + WINDOW])) for k in range(a, b)]
-                    rows.append((doc, digest, anchor, int(a), b" ".join(words[a : b + WINDOW - 1]).decode(), int(b - a), prints))
-                if len(rows) > 4000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            for start, n, words in pieces(batch.column(2)):
+                text, anchor, begin, windows = words.runs()
+                listed, counts = (x.to_numpy() for x in batch.column(3).slice(start, n).flatten().flatten())
+                listed, one = np.unique(listed, return_index=True)
+                found = np.minimum(np.searchsorted(listed, anchor), len(listed) - 1)
+                recurring = np.flatnonzero(listed[found] == anchor)
+                doc, digest = (batch.column(k).slice(start, n) for k in range(2))
+                data, at, often = words.data.tobytes(), words.at, counts[one][found] >= hot_from
+                for k in range(0, len(recurring), 4000):
+                    r = recurring[k : k + 4000]
+                    context = [data[a:b] for a, b in zip(at[begin[r]].tolist(), (at[begin[r] + windows[r] + WINDOW - 1] - 1).tolist(), strict=True)]
+                    prints = [[xxhash.xxh3_128_digest(data[at[w] : at[w + WINDOW] - 1]) for w in range(begin[i], begin[i] + windows[i])] if often[i] else None for i in r] if often[r].any() else [None] * len(r)
+                    columns = [doc.take(pa.array(text[r])), digest.take(pa.array(text[r])), pa.array(anchor[r]), pa.array(begin[r] - words.first[text[r]], pa.int32())]
+                    columns += [pa.array(context, pa.binary()).cast(pa.string()), pa.array(windows[r], pa.int32()), pa.array(prints, pa.list_(pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "digest", "anchor", "start", "context", "windows", "prints"])
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.binary())]
-    names = ["doc", "digest", "anchor", "start", "context", "windows", "prints"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+class _Codes(dict):
+    """Word to character."""
+
+    def __missing__(self, word: str) -> str:
+        n = len(self) + 1
+        self[word] = out = chr(n + (0x800 if n >= 0xD800 else 0))  # surrogates are not characters
+        return out
 
 
 class PhraseAutomaton:
     """Passages as strings with one character a word, after a dictionary of the words they use."""
 
     def __init__(self) -> None:
-        self.codes: dict[str, str] = {}
+        self.codes = _Codes()
 
     def encode(self, words: list[str]) -> str:
-        codes = self.codes
-        out = []
-        for w in words:
-            if (c := codes.get(w)) is None:
-                n = len(codes) + 1
-                c = codes[w] = chr(n + (0x800 if n >= 0xD800 else 0))  # surrogates are not characters
-            out.append(c)
-        return "".join(out)
+        return "".join(map(self.codes.__getitem__, words))
 
     def compile(self, passages: set[str]) -> ahocorasick.Automaton:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -156,18 +203,20 @@ def covered(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def locate(contexts: list[str], windows: list[int], known: list[list[int] | None]) -> list[list[tuple[int, int]]]:
-    """Covered places (in words) of each context: windows that recur among the contexts, or are known
-    to recur, become passages; an automaton finds every occurrence."""
+def locate(contexts: list[str], copies: list[int], known: list[list[int]] | None) -> list[list[tuple[int, int]]]:
+    """Covered places (in words) of each of several different contexts, which occur so many times:
+    windows that recur among the contexts, or are known to recur, become passages; an automaton finds
+    every occurrence."""
     coder = PhraseAutomaton()
     coded = [coder.encode(c.split(" ")) for c in contexts]
-    count: Counter = Counter()
-    for c, n, k in zip(coded, windows, known, strict=True):
-        if k is None:
-            count.update(c[i : i + WINDOW] for i in range(n))
+    if known is None:
+        count, copied = Counter(), set()
+        for c, n in zip(coded, copies, strict=True):
+            (copied if n > 1 else count).update([c[i : i + WINDOW] for i in range(len(c) - WINDOW + 1)])
+        copied.update(w for w, n in count.items() if n > 1)
+        known = [[i for i in range(len(c) - WINDOW + 1) if n > 1 or c[i : i + WINDOW] in copied] for c, n in zip(coded, copies, strict=True)]
     passages = set()
-    for c, n, k in zip(coded, windows, known, strict=True):
-        recurring = [i for i in range(n) if count[c[i : i + WINDOW]] > 1] if k is None else k
+    for c, recurring in zip(coded, known, strict=True):
         start = None
         for i, following in itertools.zip_longest(recurring, recurring[1:]):
             start = i if start is None else start
@@ -180,19 +229,30 @@ def locate(contexts: list[str], windows: list[int], known: list[list[int] | None
     return [covered(automaton, c) for c in coded]
 
 
-def _shard(frames: pd.DataFrame) -> pd.DataFrame:
-    """All contexts of one shard."""
-    known = [None if k is None else list(k) for k in frames["known"]]
-    found = locate(frames["context"].tolist(), frames["windows"].tolist(), known)
-    rows = [(doc, digest, start + a, start + b) for doc, digest, start, places in zip(frames["doc"].astype(object).where(frames["doc"].notna(), None), frames["digest"], frames["start"], found, strict=True) for a, b in places]
-    out = pd.DataFrame(rows, columns=["doc", "digest", "from", "to"])
-    out["doc"] = out["doc"].astype("Int64")
-    return out
+def _shard(table: pa.Table) -> pa.Table:
+    """All contexts of one shard, equal ones once; the places of each text come out together."""
+    coded = table["context"].dictionary_encode()
+    which = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    different, one = np.unique(which, return_index=True)
+    known = None if table["known"].null_count else table["known"].take(pa.array(one)).to_pylist()
+    found = locate(coded.chunk(0).dictionary.take(pa.array(different)).to_pylist(), np.bincount(which).tolist(), known)
+    places = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
+    n = np.array([len(f) for f in found])
+    row = np.repeat(np.arange(len(which)), n[which])
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n[which]) - n[which], n[which])
+    spans = table["start"].to_numpy()[row, None] + places[(np.cumsum(n) - n)[which[row]] + nth]
+    null, doc, digest = table["doc"].is_null().to_numpy(), table["doc"].fill_null(0).to_numpy(), table["digest"].to_numpy()
+    keys = np.column_stack([null[row], doc[row], digest[row], spans])
+    keys = keys[np.lexsort(keys.T[::-1])]
+    keys = keys[np.diff(keys, axis=0, prepend=keys[:1] - 1).any(axis=1)]  # equal rows have equal places
+    head = np.flatnonzero(np.diff(keys[:, :3], axis=0, prepend=keys[:1, :3] - 1).any(axis=1))
+    listed = pa.ListArray.from_arrays(pa.array(np.append(head, len(keys)) * 2, pa.int32()), pa.array(keys[:, 3:].ravel(), pa.int32()))
+    return pa.table({"doc": pa.array(keys[head, 1], mask=keys[head, 0] > 0), "digest": keys[head, 2], "spans": listed})
 
 
 def recurring_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, digest, spans) of the texts that hold windows occurring elsewhere too: the word ranges
-    to remove, per text (``digest``: xxhash64). Texts under 35 words, empty and null ones have none."""
+    """(doc, digest, spans) of the texts that hold windows occurring elsewhere too: first and following
+    word of each range to remove, one after the other, per text (``digest``: xxhash64). Texts under 35 words, empty and null ones have none."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
     held = T.stored(rows.mapInArrow(_anchors, "doc long, digest long, anchors array<long>"))
     each = held.select("doc", "digest", F.explode("anchors").alias("anchor"))
@@ -207,7 +267,7 @@ def recurring_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     T.discard(held, counts)
     shards = max(1, -(-int(volume["plain"] or 0) // SHARD_CONTEXTS))
     plain = contexts.filter("prints is null").withColumns({"known": F.lit(None).cast("array<int>"), "shard": F.pmod(F.xxhash64("anchor"), F.lit(shards))})
-    names = ["shard", "doc", "digest", "start", "context", "windows", "known"]
+    names = ["shard", "doc", "digest", "start", "context", "known"]
     placed = plain.select(names)
     if volume["hot"]:
         hot_shards = -(-int(volume["hot"]) // SHARD_CONTEXTS)
@@ -217,25 +277,33 @@ def recurring_places(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         places = T.spread_join(single, again, "print", F.struct("own", "doc")).groupBy("own").agg(F.sort_array(F.collect_set("i")).alias("known"))
         hot = T.spread_join(hot, places, "own", F.struct("doc", "anchor")).withColumn("shard", F.lit(shards) + F.pmod(F.xxhash64("doc", "digest", "start"), F.lit(hot_shards)))
         placed = placed.unionByName(hot.select(names))
-    found = placed.groupBy("shard").applyInPandas(_shard, "doc long, digest long, `from` int, `to` int")
-    return found.groupBy("doc", "digest").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    found = placed.groupBy("shard").applyInArrow(_shard, "doc long, digest long, spans array<int>")
+    return found.groupBy("doc", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 KEPT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
 
 
-@F.pandas_udf(KEPT)
-def cut_words(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(KEPT)
+def cut_words(text: pa.Array, spans: pa.Array) -> pa.Array:
     """Words outside the spans, joined by one space, with the counts."""
-
-    def one(t: str | None, places) -> tuple:
-        words = (t or "").encode().split()
-        keep = np.ones(len(words), bool)
-        for s in places if places is not None else ():
-            keep[s["from"] : s["to"]] = False
-        return len(words), int((~keep).sum()), b" ".join(w for w, k in zip(words, keep, strict=True) if k).decode()
-
-    return pd.DataFrame([one(t, s) for t, s in zip(text, spans, strict=True)], columns=["n_words", "n_removed", "kept_text"])
+    out = []
+    for start, n, words in pieces(text):
+        first, listed = words.first, spans.slice(start, n)
+        pairs = listed.value_lengths().fill_null(0).to_numpy() // 2
+        cuts = listed.flatten().to_numpy().reshape(-1, 2) + np.repeat(first[:-1], pairs)[:, None]
+        total = len(words.text)
+        depth = np.cumsum(np.bincount(cuts[:, 0], minlength=total + 1) - np.bincount(cuts[:, 1], minlength=total + 1))
+        keep = depth[:total] == 0
+        of = words.text[kept := np.flatnonzero(keep)]
+        stays = np.repeat(keep, np.diff(words.at))
+        last = kept[np.flatnonzero(np.diff(of, append=n))]
+        stays[words.at[last + 1] - 1] = False  # no space behind a text's last word
+        sizes = np.concatenate([[0], np.cumsum(stays)])[words.at[first]]
+        kept_text = pa.StringArray.from_buffers(n, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(words.data[stays]))
+        n_words = np.diff(first)
+        out.append(pa.StructArray.from_arrays([pa.array(n_words), pa.array(n_words - np.bincount(of, minlength=n)), kept_text], names=KEPT.names))
+    return pa.concat_arrays(out)
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

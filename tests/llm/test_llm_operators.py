@@ -4,10 +4,12 @@ with nulls, empty texts, ties, repeated rows and clashing column names."""
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +312,57 @@ def test_passages(rows, docs, monkeypatch, hot):
     assert Counter((r.n_words, r.n_removed, r.kept_text) for r in got) == Counter(want)
 
 
+def test_anchors_cost():
+    """Words that hardly repeat: anchors cost little more than to split the texts."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(map(str, r.integers(0, 1 << 40, 4000).tolist())) for _ in range(200)]
+    n = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, pa.array(texts)], names=["doc", "digest", "text"])
+
+    def seconds(f) -> float:
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    split = min(seconds(lambda: [t.encode().split() for t in batch.column(2).to_pylist()]) for _ in range(3))
+    assert min(seconds(lambda: list(phrases._anchors(iter([batch])))) for _ in range(3)) < 6 * split
+
+
+def test_shard_takes_equal_contexts_once(monkeypatch):
+    looked, covered = [], phrases.covered
+    monkeypatch.setattr(phrases, "covered", lambda automaton, text: looked.append(text) or covered(automaton, text))
+    copy, other, alone = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    context = [copy] * 3 + [f"{other} x", f"y {other}", alone, copy]
+    doc, start = [1, 2, 2, 3, None, 5, 1], [0, 0, 40, 7, 0, 0, 0]  # the last row repeats the first
+    table = pa.table({"doc": pa.array(doc, pa.int64()), "digest": pa.array([d or 0 for d in doc], pa.int64()), "start": pa.array(start, pa.int32()), "context": context, "known": pa.nulls(7, pa.list_(pa.int32()))})
+    got = {r["doc"]: r["spans"] for r in phrases._shard(table).to_pylist()}
+    assert got == {1: [0, 40], 2: [0, 40, 40, 80], 3: [7, 47], None: [1, 41]}
+    assert len(looked) == 4
+
+
+def test_words_in_arrays(monkeypatch):
+    monkeypatch.setattr(phrases, "PIECE", 300)
+    r = random.Random(6)
+    vocabulary = ["a", "a\0", "\0", "é", "\u2003", "\x1c", "x" * 8, "x" * 9, "ž" * 32, "y" * 64, "y" * 65, "y" * 200 + "z"]
+    texts = ["".join(r.choice(vocabulary) + r.choice([" ", "\t\n", "\v ", "\f", "\r\n"]) for _ in range(r.choice([0, 1, 34, 35, 36, 90]))) for _ in range(60)]
+    texts += ["", None, " \n", "a", " a", None, "x " * 700, *texts[:3]]
+    hashes, at = {}, 0
+    for start, n, w in phrases.pieces(pa.array(texts)):
+        assert start == at
+        at += n
+        data, h, runs = w.data.tobytes(), w.hashes().tolist(), {}
+        for text, anchor, begin, windows in zip(*(x.tolist() for x in w.runs()), strict=True):
+            runs.setdefault(text, []).append((begin - int(w.first[text]), windows))
+        for i, text in enumerate(texts[start : start + n]):
+            want = (text or "").encode().split()
+            places = range(w.first[i], w.first[i + 1])
+            assert [data[w.at[k] : w.at[k + 1] - 1] for k in places] == want
+            for word, k in zip(want, places, strict=True):
+                assert hashes.setdefault(word, h[k]) == h[k]
+            assert [k for a, m in runs.get(i, []) for k in range(a, a + m)] == list(range(len(want) - 34))
+    assert at == len(texts) and len(set(hashes.values())) == len(hashes) == len(vocabulary) + 1
+
+
 def test_elias_fano_round_trip():
     r = np.random.default_rng(3)
     for n, top in ((0, 10), (1, 1), (500, 1 << 62), (500, 700), (400, 401)):
